@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed value: every character a Unicode-aware split treats as blank.
-BLANK = r"[\s\x1c-\x1f\x85   -     　]+"
+BLANK = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 
 # Common emoji and their CLDR short names.
 EMOJI_NAMES = {
