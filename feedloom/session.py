@@ -25,6 +25,7 @@ def local_session(cpus: str = "*", shuffle_partitions: int = 8, memory: str = "8
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
     )
     for key, value in DEFAULTS.items():
         builder = builder.config(key, value)
