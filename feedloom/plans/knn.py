@@ -44,7 +44,7 @@ def _assign(df: DataFrame, pivots: np.ndarray) -> DataFrame:
     @F.pandas_udf("cell int, r double")
     def nearest(vectors: pd.Series, usable: pd.Series) -> pd.DataFrame:
         if len(vectors) == 0:
-            return pd.DataFrame({"cell": [], "r": []})
+            return pd.DataFrame({"cell": np.zeros(0, "int32"), "r": np.zeros(0)})
         d = _distances(np.stack(vectors.to_numpy()), pivots)
         d[np.arange(len(pivots))[None, :] >= usable.to_numpy()[:, None]] = np.inf
         cell = d.argmin(axis=1)
@@ -194,7 +194,9 @@ def _cell_summaries(p: DataFrame, k: int, labelled: bool, block_rows: int) -> Da
 def _visit(pivots: np.ndarray, k: int, per_label: bool):
     def visit(queries: pd.DataFrame, cells: pd.DataFrame) -> pd.DataFrame:
         if queries.empty or cells.empty:
-            return queries.assign(bound=[], targets=[]) if queries.empty else queries.iloc[:0].assign(bound=0.0, targets=None)
+            return queries.iloc[:0].assign(bound=np.zeros(0), targets=pd.Series([], dtype=object))[
+                ["g", "home", "qb", "id", "v", "x", "f", "bound", "targets"]
+            ]
         vectors = np.stack(queries["v"].to_numpy())
         floors = queries["f"].to_numpy(float)
         ids = cells["cell"].to_numpy(int)
@@ -227,7 +229,8 @@ def _visit(pivots: np.ndarray, k: int, per_label: bool):
         blocks = cells["nb"].to_numpy(int)
         targets = np.repeat(ids << 20, blocks) + np.concatenate([np.arange(b) for b in blocks])
         spread = np.repeat(reach, blocks, axis=1)
-        return queries.assign(bound=bound, targets=[targets[row] for row in spread])[
+        plain = queries["g"].astype(object)
+        return queries.assign(g=plain, bound=bound, targets=[targets[row] for row in spread])[
             ["g", "home", "qb", "id", "v", "x", "f", "bound", "targets"]
         ]
 
@@ -235,11 +238,17 @@ def _visit(pivots: np.ndarray, k: int, per_label: bool):
 
 
 def _search(k: int, by_edge: bool):
-    columns = ["g", "qid", "qx", "pid", "px", "distance"]
+    nothing = pd.DataFrame(
+        {
+            "g": pd.Series([], dtype=object),
+            **{c: pd.Series([], dtype="int64") for c in ("qid", "qx", "pid", "px")},
+            "distance": pd.Series([], dtype="float64"),
+        }
+    )
 
     def search(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         if queries.empty or rows.empty:
-            return pd.DataFrame({c: [] for c in columns})
+            return nothing
         pv, pf, pid, px = np.stack(rows["v"].to_numpy()), rows["f"].to_numpy(float), rows["id"].to_numpy(), rows["x"]
         labelled = px.notna().any()
         px_values = px.to_numpy("int64") if labelled else np.zeros(len(rows), "int64")
@@ -271,7 +280,7 @@ def _search(k: int, by_edge: bool):
             parts.append(
                 pd.DataFrame(
                     {
-                        "g": part["g"].iloc[0],
+                        "g": np.full(int(keep.sum()), part["g"].iloc[0], dtype=object),
                         "qid": qid[i[keep]],
                         "qx": qx[i[keep]] if labelled else None,
                         "pid": pid[j[keep]],
@@ -280,6 +289,6 @@ def _search(k: int, by_edge: bool):
                     }
                 )
             )
-        return pd.concat(parts) if parts else pd.DataFrame({c: [] for c in columns})
+        return pd.concat(parts) if parts else nothing
 
     return search

@@ -53,11 +53,10 @@ def grouped_running(
     sums: dict[str, Column] | None = None,
     maxima: dict[str, Column] | None = None,
 ) -> DataFrame:
-    """Add inclusive running sums and maxima per group, in a total order, plus ``position``."""
+    """Add inclusive running sums and maxima per group, in a total order."""
     sums, maxima = sums or {}, maxima or {}
     laid_out = _blocks(df, groups, order)
     totals = laid_out.groupBy(*groups, "_blk").agg(
-        F.count(F.lit(1)).alias("_rows"),
         *[F.sum(e).alias(f"_t_{n}") for n, e in sums.items()],
         *[F.max(e).alias(f"_t_{n}") for n, e in maxima.items()],
     )
@@ -65,16 +64,12 @@ def grouped_running(
     before = totals.select(
         *groups,
         "_blk",
-        F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"),
         *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_b_{n}") for n in sums],
         *[F.max(f"_t_{n}").over(earlier).alias(f"_b_{n}") for n in maxima],
     )
     here = Window.partitionBy(*groups, "_blk").orderBy("_idx").rowsBetween(Window.unboundedPreceding, 0)
     return _rejoin(laid_out, before, groups).select(
         *[F.col(c) for c in df.columns],
-        (F.row_number().over(Window.partitionBy(*groups, "_blk").orderBy("_idx")) + F.col("_before")).alias(
-            "position"
-        ),
         *[(F.sum(e).over(here) + F.col(f"_b_{n}")).alias(n) for n, e in sums.items()],
         *[F.greatest(F.max(e).over(here), F.col(f"_b_{n}")).alias(n) for n, e in maxima.items()],
     )
