@@ -10,6 +10,7 @@ cell or a hot group spread over many tasks; each task keeps only its k best rows
 from __future__ import annotations
 
 import math
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -58,6 +59,43 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(squared, 0.0))
 
 
+class Cells(NamedTuple):
+    """How a pool is cut: the pivots, and per group how many of them it uses."""
+
+    pivots: np.ndarray
+    usable: DataFrame
+    largest: int
+
+
+def slim(df: DataFrame, key: str, vector: str, group: str | None, exclude: str | None, floor: str | None) -> DataFrame:
+    """(g, id, v, x, f): group, id, vector, exclusion label and distance floor."""
+    return df.filter(F.col(vector).isNotNull()).select(
+        (F.col(group).cast("string") if group else F.lit("")).alias("g"),
+        F.col(key).cast("bigint").alias("id"),
+        F.col(vector).cast("array<double>").alias("v"),
+        (F.col(exclude).cast("bigint") if exclude else F.lit(None).cast("bigint")).alias("x"),
+        (F.col(floor).cast("double") if floor else F.lit(0.0)).alias("f"),
+    )
+
+
+def plan_cells(pool: DataFrame, block_rows: int = BLOCK_ROWS) -> Cells:
+    """One pivot per ``block_rows`` rows of the largest group; smaller groups use fewer."""
+    sizes = pool.groupBy("g").agg(F.count(F.lit(1)).alias("_rows"))
+    largest = sizes.agg(F.max("_rows")).first()[0] or 0
+    count = min(MAX_PIVOTS, max(1, math.ceil(largest / block_rows)))
+    pivots = choose_pivots(pool, count, "id", "v") if count > 1 else np.zeros((1, 0))
+    usable = sizes.select("g", F.least(F.lit(count), F.ceil(F.col("_rows") / block_rows)).cast("int").alias("np"))
+    return Cells(pivots, usable, largest)
+
+
+def assign_cells(df: DataFrame, cells: Cells) -> DataFrame:
+    """Add cell, r (distance to its pivot) and np; rows of groups without a pool row drop out."""
+    joined = df.join(cells.usable, "g")
+    if len(cells.pivots) == 1:
+        return joined.withColumn("cell", F.lit(0)).withColumn("r", F.lit(0.0))
+    return _assign(joined, cells.pivots)
+
+
 def knn_join(
     queries: DataFrame,
     pool: DataFrame,
@@ -68,42 +106,28 @@ def knn_join(
     group: str | None = None,
     exclude: str | None = None,
     floor: str | None = None,
-    by_edge: bool = False,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """The k nearest pool rows of every query, by Euclidean distance, ties by pool id.
 
     ``group``: only rows of the same group pair. ``exclude``: a bigint label; rows with the query's
     own label never pair. ``floor``: a double; the distance of a pair is at least the floor of
-    either side. ``by_edge``: ties break by the unordered id pair, and per label only the best
-    pairs of a block are looked for (for spanning trees; k must be 1).
-    Returns g, qid, qx, pid, px, distance, rank; queries without any partner have no row.
+    either side. Returns g, qid, qx, pid, px, distance, rank; queries without any partner have no row.
     """
+    p = slim(pool, pool_id, vector, group, exclude, floor)
+    q = slim(queries, query_id, vector, group, exclude, floor)
+    cells = plan_cells(p, block_rows)
+    return search_cells(assign_cells(q, cells), assign_cells(p, cells), cells, k, exclude is not None, False, block_rows)
 
-    def slim(df: DataFrame, key: str) -> DataFrame:
-        return df.filter(F.col(vector).isNotNull()).select(
-            (F.col(group).cast("string") if group else F.lit("")).alias("g"),
-            F.col(key).cast("bigint").alias("id"),
-            F.col(vector).cast("array<double>").alias("v"),
-            (F.col(exclude).cast("bigint") if exclude else F.lit(None).cast("bigint")).alias("x"),
-            (F.col(floor).cast("double") if floor else F.lit(0.0)).alias("f"),
-        )
 
-    q, p = slim(queries, query_id), slim(pool, pool_id)
-    sizes = p.groupBy("g").agg(F.count(F.lit(1)).alias("_rows"))
-    largest = sizes.agg(F.max("_rows")).first()[0] or 0
-    pivots = choose_pivots(pool, max(1, math.ceil(largest / block_rows)), pool_id, vector)
-    if len(pivots) == 0:
-        return _empty(q)
-    usable = sizes.select(
-        "g", F.least(F.lit(len(pivots)), F.ceil(F.col("_rows") / block_rows)).cast("int").alias("np")
-    )
-    p, q = _assign(p.join(usable, "g"), pivots), _assign(q.join(usable, "g"), pivots)
+def search_cells(
+    q: DataFrame, p: DataFrame, cells: Cells, k: int, labelled: bool, by_edge: bool = False, block_rows: int = BLOCK_ROWS
+) -> DataFrame:
+    """The neighbour join over rows already assigned to cells.
 
-    cells = _cell_summaries(p, k, exclude is not None, block_rows)
-    p = p.join(cells.select("g", "cell", "nb"), ["g", "cell"]).withColumn(
-        "pb", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int")
-    )
+    ``by_edge``: ties break by the unordered id pair, and per label only the best pairs of a block
+    are looked for (for spanning trees; k must be 1).
+    """
     homes = q.groupBy("g", F.col("cell").alias("home")).agg(
         F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("nq")
     )
@@ -112,29 +136,27 @@ def knn_join(
         .join(homes, ["g", "home"])
         .withColumn("qb", F.pmod(F.xxhash64("id"), F.col("nq")).cast("int"))
     )
-    q_blocks = homes.select("g", "home", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("qb"))
-
-    # Which cells can hold a closer row: one task per query block, reading only cell summaries.
-    visits = stage(
-        q.select("g", "home", "qb", "id", "v", "x", "f")
-        .groupBy("g", "home", "qb")
-        .cogroup(_fresh(q_blocks.join(cells, "g")).groupBy("g", "home", "qb"))
-        .applyInPandas(
-            _visit(pivots, k, by_edge),
-            "g string, home int, qb int, id bigint, v array<double>, x bigint, f double, bound double, targets array<bigint>",
-        ),
-        "visits",
-    )
-    routed = visits.select("*", F.explode("targets").alias("_t")).select(
-        "g", "home", "qb", "id", "v", "x", "f", "bound",
-        F.shiftright("_t", 20).cast("int").alias("cell"),
-        F.col("_t").bitwiseAND(F.lit((1 << 20) - 1)).cast("int").alias("pb"),
+    # A group of one block is searched whole.
+    routed = q.filter("np = 1").select(
+        "g", "home", "qb", "id", "v", "x", "f", F.lit(float("inf")).alias("bound"),
+        F.lit(0).alias("cell"), F.lit(0).alias("pb"),
     )
+    blocked = p.filter("np = 1").select("g", "cell", F.lit(0).alias("pb"), "id", "v", "x", "f")
+    if cells.largest > block_rows:
+        large_q, large_p = q.filter("np > 1"), p.filter("np > 1")
+        summaries = stage(_cell_summaries(large_p, k, labelled, block_rows), "cells")
+        routed = routed.unionByName(_route(large_q, homes, summaries, cells.pivots, k, by_edge))
+        blocked = blocked.unionByName(
+            large_p.join(summaries.select("g", "cell", "nb"), ["g", "cell"]).select(
+                "g", "cell", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int").alias("pb"), "id", "v", "x", "f"
+            )
+        )
+    # Pool rows go only to the query blocks that visit their cell.
     wanted = routed.select("g", "cell", "home", "qb").distinct()
     keys = ["g", "cell", "pb", "home", "qb"]
     found = (
         routed.groupBy(*keys)
-        .cogroup(_fresh(p.select("g", "cell", "pb", "id", "v", "x", "f").join(wanted, ["g", "cell"])).groupBy(*keys))
+        .cogroup(_fresh(blocked.join(wanted, ["g", "cell"])).groupBy(*keys))
         .applyInPandas(
             _search(k, by_edge), "g string, qid bigint, qx bigint, pid bigint, px bigint, distance double"
         )
@@ -146,17 +168,31 @@ def knn_join(
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
+def _route(q: DataFrame, homes: DataFrame, summaries: DataFrame, pivots: np.ndarray, k: int, by_edge: bool) -> DataFrame:
+    """Queries once per pool block that can hold a closer row; one task per query block reads only cell summaries."""
+    q_blocks = homes.select("g", "home", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("qb"))
+    visits = stage(
+        q.select("g", "home", "qb", "id", "v", "x", "f")
+        .groupBy("g", "home", "qb")
+        .cogroup(_fresh(q_blocks.join(summaries, "g")).groupBy("g", "home", "qb"))
+        .applyInPandas(
+            _visit(pivots, k, by_edge),
+            "g string, home int, qb int, id bigint, v array<double>, x bigint, f double, bound double, targets array<bigint>",
+        ),
+        "visits",
+    )
+    return visits.select("*", F.explode("targets").alias("_t")).select(
+        "g", "home", "qb", "id", "v", "x", "f", "bound",
+        F.shiftright("_t", 20).cast("int").alias("cell"),
+        F.col("_t").bitwiseAND(F.lit((1 << 20) - 1)).cast("int").alias("pb"),
+    )
+
+
 def _fresh(df: DataFrame) -> DataFrame:
     """The same columns under new references, so both sides of a co-group may share ancestors."""
     return df.select(*[F.col(c).alias(c) for c in df.columns])
 
 
-def _empty(q: DataFrame) -> DataFrame:
-    return q.sparkSession.createDataFrame(
-        [], "g string, qid bigint, qx bigint, pid bigint, px bigint, distance double, rank int"
-    )
-
-
 def _cell_summaries(p: DataFrame, k: int, labelled: bool, block_rows: int) -> DataFrame:
     """Per cell: blocks, radius range, and a few real rows close to the pivot for the distance bound."""
     stats = p.groupBy("g", "cell").agg(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.plans.staging import stage
+from feedloom.plans.staging import stage, stage_counting
 
 
 def follow(links: DataFrame, name: str = "links") -> DataFrame:
@@ -17,15 +17,12 @@ def follow(links: DataFrame, name: str = "links") -> DataFrame:
     current = stage(links.select("node", "parent"), name)
     while True:
         up = current.select(F.col("node").alias("parent"), F.col("parent").alias("_up"))
-        jumped = stage(
-            current.join(up, "parent").select(
-                "node", F.col("_up").alias("parent"), (F.col("_up") != F.col("parent")).alias("moved")
-            ),
-            name,
+        jumped = current.select("node", "parent").join(up, "parent").select(
+            "node", F.col("_up").alias("parent"), (F.col("_up") != F.col("parent")).alias("moved")
         )
-        current = jumped.select("node", "parent")
-        if jumped.filter("moved").isEmpty():
-            return current.withColumnRenamed("parent", "root")
+        current, moved = stage_counting(jumped, name, F.col("moved"))
+        if moved == 0:
+            return current.drop("moved").withColumnRenamed("parent", "root")
 
 
 def topmost(links: DataFrame, name: str = "topmost") -> DataFrame:
@@ -33,13 +30,15 @@ def topmost(links: DataFrame, name: str = "topmost") -> DataFrame:
 
     Each node's own label applies when none above it has one.
     """
-    current = stage(links.select("node", "parent", "label"), name)
-    while not current.filter(F.col("parent").isNotNull()).isEmpty():
+    unfinished = F.col("parent").isNotNull()
+    current, open_links = stage_counting(links.select("node", "parent", "label"), name, unfinished)
+    while open_links:
         up = current.select(F.col("node").alias("parent"), F.col("parent").alias("_up"), F.col("label").alias("_label"))
-        current = stage(
+        current, open_links = stage_counting(
             current.join(up, "parent", "left").select(
                 "node", F.col("_up").alias("parent"), F.coalesce("_label", "label").alias("label")
             ),
             name,
+            unfinished,
         )
     return current.select("node", "label")

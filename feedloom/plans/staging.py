@@ -10,7 +10,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _SETTING = "spark.checkpoint.dir"
 
@@ -33,3 +34,11 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = f"{staging_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def stage_counting(df: DataFrame, name: str, condition: Column | None = None) -> tuple[DataFrame, int]:
+    """As ``stage``, with the number of rows (where ``condition`` holds) counted during the write."""
+    seen = Observation()
+    counted = F.count(F.lit(1)) if condition is None else F.count_if(condition)
+    staged = stage(df.observe(seen, counted.alias("n")), name)
+    return staged, seen.get["n"]
