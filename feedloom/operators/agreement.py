@@ -34,11 +34,16 @@ def spearman(rankings: DataFrame, min_common: int = 2) -> DataFrame:
     ranked = average_rank(common_rankings(rankings), PAIR, "rank_a", "pain_point", "_ra")
     ranked = average_rank(ranked, PAIR, "rank_b", "pain_point", "_rb")
     rho = F.try_divide(F.covar_pop("_ra", "_rb"), F.stddev_pop("_ra") * F.stddev_pop("_rb"))
+    # Rounding keeps full agreement at exactly 1; greatest and least would turn null into a bound.
+    clipped = F.when(
+        F.col("spearman_rho").isNotNull(),
+        F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.round("spearman_rho", 12))),
+    )
     return (
         ranked.groupBy(*PAIR)
         .agg(F.count(F.lit(1)).alias("n_common_pain_points"), rho.alias("spearman_rho"))
         .filter(F.col("n_common_pain_points") >= min_common)
-        .withColumn("spearman_rho", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.round("spearman_rho", 12))))
+        .withColumn("spearman_rho", clipped)
     )
 
 

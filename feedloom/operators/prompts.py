@@ -50,13 +50,13 @@ def numbered(item: Column) -> Column:
 def with_examples(item: Column) -> Column:
     """A numbered review followed by the labelled examples retrieved for it, if any."""
     shown = F.transform(
-        F.coalesce(item["examples"], F.array().cast("array<struct<text:string,theme:string,sentiment:string>>")),
+        item["examples"],
         lambda e: F.concat(
             F.lit('\n  Similar labelled review: "'), e["text"], F.lit('" -> theme='), e["theme"],
             F.lit(", sentiment="), e["sentiment"],
         ),
     )
-    return F.concat(numbered(item), F.array_join(shown, ""))
+    return F.concat(numbered(item), F.coalesce(F.array_join(shown, ""), F.lit("")))
 
 
 def _render(version: str, line: Callable[[Column], Column]) -> Callable[[Column], Column]:

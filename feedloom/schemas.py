@@ -22,9 +22,23 @@ THEME_NAMES = [name for name, _ in THEMES]
 SENTIMENTS = ["positive", "neutral", "negative"]
 
 
-def _schema(ddl: str, required: tuple[str, ...] = ()) -> T.StructType:
-    parsed = T.StructType.fromDDL(ddl)
-    return T.StructType([T.StructField(f.name, f.dataType, f.name not in required) for f in parsed.fields])
+_TYPES = {
+    "bigint": T.LongType(),
+    "int": T.IntegerType(),
+    "double": T.DoubleType(),
+    "string": T.StringType(),
+    "date": T.DateType(),
+    "timestamp": T.TimestampType(),
+}
+
+
+def _schema(columns: str, required: tuple[str, ...] = (), **nested: T.DataType) -> T.StructType:
+    """Fields from ``name type`` pairs; built without a running session."""
+    fields = []
+    for column in columns.split(","):
+        name, kind = column.split()
+        fields.append(T.StructField(name, nested[name] if name in nested else _TYPES[kind], name not in required))
+    return T.StructType(fields)
 
 
 REVIEWS = _schema(
@@ -43,20 +57,22 @@ CLASSIFICATIONS = _schema(
     ("review_id", "prompt_version"),
 )
 RETRIEVALS = _schema(
-    "review_id bigint, prompt_version string,"
-    " examples array<struct<text:string,theme:string,sentiment:string,distance:double>>",
+    "review_id bigint, prompt_version string, examples array",
     ("review_id", "prompt_version"),
+    examples=T.ArrayType(_schema("text string, theme string, sentiment string, distance double")),
 )
 PAIN_POINTS = _schema(
     "app_id string, prompt_version string, theme string, cluster_label int, title string, summary string,"
     " next_step string, review_count bigint, weighted_severity double, last_30_count bigint, prev_30_count bigint,"
-    " reach_sum bigint, example_quotes array<string>, example_review_ids array<bigint>",
+    " reach_sum bigint, example_quotes array, example_review_ids array",
     ("app_id", "prompt_version", "theme", "cluster_label"),
+    example_quotes=T.ArrayType(T.StringType()),
+    example_review_ids=T.ArrayType(T.LongType()),
 )
 MODEL_CACHE = _schema(
-    "cache_key string, response struct<theme:string,sentiment:string,severity:int,reasoning:string>,"
-    " created_at timestamp",
+    "cache_key string, response struct, created_at timestamp",
     ("cache_key",),
+    response=_schema("theme string, sentiment string, severity int, reasoning string"),
 )
 LABELS = _schema("review_id bigint, theme string, sentiment string, labeler string, labeled_at timestamp")
 PM_RANKINGS = _schema(
