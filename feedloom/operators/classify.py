@@ -255,22 +255,29 @@ def classify_reviews(
     prompt_version: str,
     scorer: Scorer,
     retriever: Callable[[DataFrame], DataFrame] | None = None,
-    progress: Observation | None = None,
+    progress: Callable[[dict[str, int]], None] | None = None,
 ) -> dict[str, DataFrame]:
     """Classify reviews (id, cleaned_text): cached answers are reused, the rest is scored once per text.
 
     ``retriever`` maps reviews to (id, examples) and is required by v3. Returns ``results``
     (review_id and the four fields), ``new_cache`` (entries to store), ``rejected`` (reviews whose
-    scoring failed validation) and, for v3, ``retrievals``.
+    scoring failed validation) and, for v3, ``retrievals``. The split is written out once, with the
+    texts of the misses only, so texts are hashed and the cache is joined once; ``progress`` then
+    gets the counts total, hits and misses.
     """
     prompt_for(prompt_version)
     if prompt_version == "v3" and retriever is None:
         raise ValueError("prompt v3 needs a retriever")
-    split = cache_split(with_cache_key(reviews, prompt_version), cache)
+    split = cache_split(with_cache_key(reviews.select("id", "cleaned_text"), prompt_version), cache)
+    seen = Observation()
+    split = stage(
+        split.withColumn("cleaned_text", F.when(~F.col("hit"), F.col("cleaned_text"))).observe(
+            seen, F.count(F.lit(1)).alias("total"), F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses")
+        ),
+        "split",
+    )
     if progress is not None:
-        split = split.observe(
-            progress, F.count(F.lit(1)).alias("total"), F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses")
-        )
+        progress(seen.get)
     outputs: dict[str, DataFrame] = {}
     if prompt_version == "v3":
         retrieved = retriever(split.filter(~F.col("hit")).select("id", "cleaned_text"))
