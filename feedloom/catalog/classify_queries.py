@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from feedloom.catalog import query
 from feedloom.catalog.cleaning_queries import words
-from feedloom.catalog.inputs import raw_reviews, table, with_tables
+from feedloom.catalog.inputs import documents, raw_reviews, table, with_tables
 from feedloom.functions.text import cache_key, tokens
 from feedloom.operators import classify, prompts
 from feedloom.operators.cleaning import add_cleaned_text
 from feedloom.operators.upsert import upsert_replace
+from feedloom.plans.staging import stage
 from feedloom.schemas import SENTIMENTS, THEME_NAMES
 
 CLEANED = with_tables("raw_reviews", "cleaned")
@@ -126,20 +127,22 @@ scored as (select c.id, coalesce(b.theme, 'Other') as theme,
 
 def lexicon(spark, sf_dir):
     counts = (
-        table(spark, sf_dir, "documents")
+        documents(spark, sf_dir)
         .select(F.explode(tokens(F.col("text"))).alias("term"))
         .groupBy("term")
         .agg(F.count(F.lit(1)).alias("n"))
     )
     top = counts.orderBy(F.col("n").desc(), "term").limit(60)
     ranked = top.withColumn("r", F.row_number().over(Window.orderBy(F.col("n").desc(), "term")) - 1)
-    return ranked.select(
+    # Sixty rows, written once: a query reads them more than once.
+    rows = ranked.select(
         "term",
         F.element_at(F.array(*[F.lit(t) for t in THEME_NAMES]), (F.col("r") % 10 + 1).cast("int")).alias("theme"),
         (F.col("r") % 3 + 1).alias("weight"),
         (F.col("r") % 3 - 1).alias("polarity"),
         (F.col("r") % 2).alias("severity"),
     )
+    return stage(rows, "lexicon")
 
 
 @query("classify_lexicon", SCORED + " select id, theme, sentiment, severity, reasoning from scored")
@@ -173,11 +176,11 @@ def _classify(spark, sf_dir):
 def _model(spark, sf_dir):
     labelled = (
         table(spark, sf_dir, "labels")
-        .join(table(spark, sf_dir, "documents"), "doc_id")
+        .join(documents(spark, sf_dir), "doc_id")
         .select("doc_id", "text", F.when(F.col("quality") == 1, "UI/UX").otherwise("Other").alias("label"))
     )
     model = classify.train_theme_model(labelled)
-    texts = table(spark, sf_dir, "documents").select("doc_id", "text")
+    texts = documents(spark, sf_dir).select("doc_id", "text")
     return classify.classify_model(texts, model, "doc_id").withColumnRenamed("predicted", "theme")
 
 

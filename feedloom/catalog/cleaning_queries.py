@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from feedloom.catalog import query
-from feedloom.catalog.inputs import raw_reviews, table, with_tables
+from feedloom.catalog.inputs import documents, raw_reviews, with_tables
 from feedloom.functions.dates import parse_date
 from feedloom.functions.text import clean_whitespace, demojize
 from feedloom.operators import cleaning, language
@@ -46,7 +46,7 @@ judged_lang as (select p.{', p.'.join(k.strip() for k in keys.split(','))}, case
 
 
 def learned_profile(spark, sf_dir):
-    return language.learn_profile(table(spark, sf_dir, "documents").filter(F.col("doc_id") % 2 == 0))
+    return language.learn_profile(documents(spark, sf_dir).filter(F.col("doc_id") % 2 == 0))
 
 
 @query("clean_whitespace", CLEANED + " select id, cleaned_text from cleaned")
@@ -102,7 +102,7 @@ def _dedupe(spark, sf_dir):
     + " select d.doc_id, language from documents as d left join judged_lang as j on d.doc_id = j.doc_id",
 )
 def _language(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir).select("doc_id", "text")
     return language.detect_language(docs, learned_profile(spark, sf_dir), keys=("doc_id",), text="text").select(
         "doc_id", "language"
     )

@@ -6,6 +6,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from feedloom.plans.layout import spread
+
 AS_OF = "2024-01-31"
 DAYS = 15
 
@@ -53,6 +55,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts, over all cores."""
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def _sql(spark: SparkSession, sql: str, **tables: DataFrame) -> DataFrame:
     """Run the SQL text on Spark with the named tables bound to DataFrames."""
     bound = re.sub(rf"\b(from|join) ({'|'.join(tables)})\b", r"\1 {\2}", sql)
@@ -64,7 +71,7 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sql(spark, RAW_REVIEWS, documents=table(spark, sf_dir, "documents"))
+    return _sql(spark, RAW_REVIEWS, documents=documents(spark, sf_dir))
 
 
 def rankings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from feedloom.catalog import query
 from feedloom.catalog.cleaning_queries import words
-from feedloom.catalog.inputs import table
+from feedloom.catalog.inputs import documents, table
 from feedloom.functions.vectors import l2_normalize
 from feedloom.operators import retrieval
 
@@ -47,7 +47,7 @@ def top(condition: str, k: int = 3) -> str:
     select doc_id, bucket, round(c / norm, 6) as value from b join n using (doc_id) where c <> 0""",
 )
 def _embed(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir).select("doc_id", "text")
     embedded = retrieval.embed_texts(docs, dim=DIM).filter(F.col("embedding").isNotNull())
     return embedded.select("doc_id", F.posexplode("embedding").alias("bucket", "value")).filter(
         F.col("value") != 0

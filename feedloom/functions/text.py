@@ -8,8 +8,14 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed value: every character a Unicode-aware split treats as blank.
-BLANK = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+# Fixed value: every character besides the space that a Unicode-aware split treats as blank.
+# The nested class keeps most characters at one range test.
+OTHER_BLANK = (
+    r"\t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0"
+    r"[\u1680-\u3000&&[\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]]"
+)
+# A blank run that is not already a single space; most text is skipped without a replacement.
+BLANK_RUN = rf"(?: [ {OTHER_BLANK}]|[{OTHER_BLANK}])[ {OTHER_BLANK}]*"
 
 # Common emoji and their CLDR short names.
 EMOJI_NAMES = {
@@ -173,12 +179,17 @@ SKIN_TONES = {
     "🏿": "dark_skin_tone",
 }
 # Code-point ranges whose remaining members take their Unicode character name.
-EMOJI_RANGES = [(0x2600, 0x27BF), (0x1F300, 0x1F64F), (0x1F680, 0x1F6FF), (0x1F900, 0x1FAFF)]
+EMOJI_RANGES = [(0x2600, 0x27BF), (0x1F300, 0x1FAFF)]
 
 
 def clean_whitespace(text: Column) -> Column:
     """Collapse runs of blank characters to one space and trim."""
-    return F.trim(F.regexp_replace(text, BLANK, " "))
+    return F.trim(F.regexp_replace(text, BLANK_RUN, " "))
+
+
+def has_text(text: Column) -> Column:
+    """Whether some character is not blank."""
+    return text.rlike(rf"[^ {OTHER_BLANK}]")
 
 
 def emoji_aliases(extra: dict[str, str] | None = None) -> dict[str, str]:
@@ -195,13 +206,9 @@ def emoji_aliases(extra: dict[str, str] | None = None) -> dict[str, str]:
 def demojize(text: Column, extra: dict[str, str] | None = None) -> Column:
     """Replace each emoji by `` :alias: ``; padded, so neighbours never fuse."""
     names = emoji_aliases(extra)
-    points = sorted({ord(char[0]) for char in names})
-    spans: list[list[int]] = []
-    for point in points:
-        if spans and point == spans[-1][1] + 1:
-            spans[-1][1] = point
-        else:
-            spans.append([point, point])
+    # A few wide ranges are cheap to test per character; a member without a name is left as it is.
+    outside = {ord(n[0]) for n in names if not any(a <= ord(n[0]) <= b for a, b in EMOJI_RANGES)}
+    spans = EMOJI_RANGES + [(point, point) for point in sorted(outside)]
     leads = "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in spans)
     joined = "|".join(sorted((s for s in names if len(s) > 1), key=len, reverse=True))
     tone = r"[\x{1F3FB}-\x{1F3FF}]"

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.functions.dates import ISO, parse_date
-from feedloom.functions.text import clean_text
+from feedloom.functions.text import clean_text, has_text
 from feedloom.operators.language import detect_language, seed_profile
 from feedloom.plans.ordering import grouped_position
 
@@ -21,8 +21,12 @@ def add_cleaned_text(df: DataFrame, extra_emoji: dict[str, str] | None = None) -
 
 
 def drop_empty(df: DataFrame) -> DataFrame:
-    """Keep rows with some cleaned text; a null text is dropped too."""
-    return df.filter(F.length("cleaned_text") > 0)
+    """Keep rows with some cleaned text; a null text is dropped too.
+
+    Cleaning leaves text exactly where there is a character that is not blank, so the raw text
+    decides, at its first such character and before any cleaning.
+    """
+    return df.filter(has_text(F.col("text")) if "text" in df.columns else F.length("cleaned_text") > 0)
 
 
 def keep_first(df: DataFrame, keys: dict[str, Column], order: Sequence[str]) -> DataFrame:
@@ -81,7 +85,7 @@ def clean_and_filter(
 
 def drop_reasons(df: DataFrame, order: Sequence[str], profile: DataFrame, keep_languages: Sequence[str] = KEEP_LANGUAGES) -> DataFrame:
     """Rows in, and rows lost at each cleaning step, so a silent zero-row import shows its cause."""
-    cleaned = df.transform(add_cleaned_text).withColumn("_empty", ~F.coalesce(F.length("cleaned_text") > 0, F.lit(False)))
+    cleaned = df.transform(add_cleaned_text).withColumn("_empty", ~F.coalesce(has_text(F.col("text")), F.lit(False)))
     keyed = keep_first(
         cleaned.filter(~F.col("_empty")), {"app": F.col("app_id"), "text": F.sha2("cleaned_text", 256)}, order
     )
