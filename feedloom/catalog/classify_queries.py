@@ -28,18 +28,22 @@ def _key(spark, sf_dir):
     return cleaned(spark, sf_dir).select("id", cache_key(F.lit("v1"), F.col("cleaned_text")).alias("cache_key"))
 
 
-# The cache holds the answers for every text of the even documents.
+# The cache holds the answers for every text of the labelled documents.
 KEYED = CLEANED + """, keyed as (select id, cleaned_text, sha256(concat('v1', ':', cleaned_text)) as cache_key from cleaned),
-cached as (select cache_key, min(id) as first_id from keyed where id % 2 = 0 group by cache_key)"""
+cached as (select cache_key, min(id) as first_id from keyed where id in (select doc_id from labels) group by cache_key)"""
 
 
 def keyed(spark, sf_dir):
     return classify.with_cache_key(cleaned(spark, sf_dir), "v1")
 
 
+def labelled_ids(spark, sf_dir):
+    return table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"))
+
+
 def stored_cache(spark, sf_dir):
-    even = keyed(spark, sf_dir).filter(F.col("id") % 2 == 0)
-    return even.groupBy("cache_key").agg(F.min("id").alias("first_id")).select(
+    known = keyed(spark, sf_dir).join(labelled_ids(spark, sf_dir), "id", "left_semi")
+    return known.groupBy("cache_key").agg(F.min("id").alias("first_id")).select(
         "cache_key",
         F.struct(
             F.lit("Other").alias("theme"),
@@ -60,6 +64,15 @@ def _split(spark, sf_dir):
     return split.select("id", "hit", F.col("response.reasoning").alias("reasoning"))
 
 
+@query(
+    "progress_metrics",
+    KEYED + """ select count(*) as total, count(c.cache_key) as hits, count(*) - count(c.cache_key) as misses
+    from keyed as k left join cached as c on k.cache_key = c.cache_key""",
+)
+def _progress(spark, sf_dir):
+    return classify.progress_metrics(classify.cache_split(keyed(spark, sf_dir), stored_cache(spark, sf_dir)))
+
+
 BATCHES = KEYED + """, misses as (select cache_key, min(id) as first_id, min(cleaned_text) as text from keyed
     where cache_key not in (select cache_key from cached) group by cache_key),
 numbered as (select *, (row_number() over (order by first_id) - 1) // 20 as batch_id, cast((row_number() over (order by first_id) - 1) % 20 as int) as review_index from misses)"""
@@ -155,7 +168,7 @@ def _lexicon(spark, sf_dir):
     "classify_reviews",
     SCORED.replace("with recursive ", "with recursive ")
     + """, keyed as (select id, sha256(concat('v1', ':', cleaned_text)) as cache_key from cleaned),
-    cached as (select cache_key, min(id) as first_id from keyed where id % 2 = 0 group by cache_key)
+    cached as (select cache_key, min(id) as first_id from keyed where id in (select doc_id from labels) group by cache_key)
     select k.id as review_id, case when c.cache_key is not null then 'Other' else theme end as theme,
         case when c.cache_key is not null then 'neutral' else sentiment end as sentiment,
         case when c.cache_key is not null then 1 else severity end as severity,
@@ -245,15 +258,15 @@ def _coverage(spark, sf_dir):
 @query(
     "store_classifications",
     SCORED
-    + """, old as (select id as review_id, 'Old' as theme from cleaned where id % 3 = 0)
+    + """, old as (select id as review_id, 'Old' as theme, true_lang from cleaned where id in (select doc_id from labels))
     select id as review_id, 'v1' as prompt_version, theme, sentiment, severity, reasoning,
         concat('{"theme":"', theme, '","sentiment":"', sentiment, '","severity":', cast(severity as varchar), ',"reasoning":"', reasoning, '"}') as raw_response
-    from scored where id % 2 = 0
-    union all select review_id, 'v1', theme, 'neutral', 1, null, null from old where review_id % 2 <> 0""",
+    from scored where id in (select id from cleaned where true_lang = 'en')
+    union all select review_id, 'v1', theme, 'neutral', 1, null, null from old where true_lang <> 'en'""",
 )
 def _store(spark, sf_dir):
-    texts = cleaned(spark, sf_dir).select("id", "cleaned_text")
-    old = texts.filter(F.col("id") % 3 == 0).select(
+    texts = cleaned(spark, sf_dir).select("id", "cleaned_text", "true_lang")
+    old = texts.join(labelled_ids(spark, sf_dir), "id", "left_semi").select(
         F.col("id").alias("review_id"),
         F.lit("v1").alias("prompt_version"),
         F.lit("Old").alias("theme"),
@@ -263,22 +276,22 @@ def _store(spark, sf_dir):
         F.lit(None).cast("string").alias("raw_response"),
     )
     scored = classify.classify_lexicon(
-        texts.filter(F.col("id") % 2 == 0), lexicon(spark, sf_dir), key="id", text="cleaned_text"
+        texts.filter("true_lang = 'en'"), lexicon(spark, sf_dir), key="id", text="cleaned_text"
     ).withColumnRenamed("id", "review_id")
     return classify.store_classifications(old, scored, "v1")
 
 
-# Two batches of cache entries; the later answer for a key replaces the stored one.
+# A batch for the texts of the other languages; its last answer for a key replaces the stored one.
 @query(
     "upsert_replace",
-    KEYED
-    + """, latest as (select cache_key, max(id) as last_id from keyed where id % 3 = 0 group by cache_key)
+    KEYED.replace("as (select id, cleaned_text, sha256", "as (select id, true_lang, cleaned_text, sha256")
+    + """, latest as (select cache_key, max(id) as last_id from keyed where true_lang <> 'en' group by cache_key)
     select cache_key, concat('last ', cast(last_id as varchar)) as reasoning from latest
     union all select cache_key, concat('from ', cast(first_id as varchar)) from cached where cache_key not in (select cache_key from latest)""",
 )
 def _replace(spark, sf_dir):
     stored = stored_cache(spark, sf_dir).select("cache_key", F.col("response.reasoning").alias("reasoning"))
-    batch = keyed(spark, sf_dir).filter(F.col("id") % 3 == 0).select(
+    batch = keyed(spark, sf_dir).filter("true_lang <> 'en'").select(
         "cache_key", F.concat_ws(" ", F.lit("last"), F.col("id").cast("string")).alias("reasoning"), "id"
     )
     return upsert_replace(stored.withColumn("id", F.lit(None).cast("bigint")), batch, ["cache_key"], ["id"]).drop("id")

@@ -23,7 +23,7 @@ def words(text: str) -> str:
 
 PROFILE = f"""
 train as (select lang, {BUCKET} as bucket from
-    (select lang, unnest({words('text')}) as w from documents where doc_id % 2 = 0) as tw),
+    (select lang, unnest({words('text')}) as w from documents) as tw),
 counts as (select lang, bucket, count(*) as n from train group by lang, bucket),
 totals as (select lang, sum(n) as total from counts group by lang)"""
 
@@ -46,7 +46,7 @@ judged_lang as (select p.{', p.'.join(k.strip() for k in keys.split(','))}, case
 
 
 def learned_profile(spark, sf_dir):
-    return language.learn_profile(documents(spark, sf_dir).filter(F.col("doc_id") % 2 == 0))
+    return language.learn_profile(documents(spark, sf_dir))
 
 
 @query("clean_whitespace", CLEANED + " select id, cleaned_text from cleaned")

@@ -16,7 +16,7 @@ BLOCK = 500
 
 FOLDED = "folded as (select vec_id as review_id, embedding, cast(vec_id % 5 as bigint) as fold, label from embeddings)"
 DIST = "list_sum(list_transform(range(1, len(a.embedding) + 1), lambda i: (cast(a.embedding[i] as double) - cast(b.embedding[i] as double)) * (cast(a.embedding[i] as double) - cast(b.embedding[i] as double))))"
-PAIRS = f"""with {FOLDED}, pairs as (select a.review_id as query_id, b.review_id as neighbor_id, a.fold as qf, b.fold as pf, {DIST} as d
+PAIRS = f"""with {FOLDED}, pairs as (select a.review_id as query_id, b.review_id as neighbor_id, a.fold as qf, b.fold as pf, a.label as ql, b.label as pl, {DIST} as d
     from folded as a join folded as b on true)"""
 
 
@@ -73,12 +73,10 @@ def _index(spark, sf_dir):
     return retrieval.build_index(folded(spark, sf_dir), held).select("review_id", "label")
 
 
-@query("retrieve_top_k", top("qf = 0 and pf <> 0"))
+@query("retrieve_top_k", top("true"))
 def _retrieve(spark, sf_dir):
     rows = folded(spark, sf_dir)
-    return neighbors(
-        retrieval.retrieve_top_k(rows.filter("fold = 0"), rows.filter("fold <> 0"), block_rows=BLOCK)
-    )
+    return neighbors(retrieval.retrieve_top_k(rows, rows, block_rows=BLOCK))
 
 
 @query("kfold_retrieve", top("qf <> pf"))
@@ -86,10 +84,10 @@ def _kfold(spark, sf_dir):
     return neighbors(retrieval.kfold_retrieve(folded(spark, sf_dir), block_rows=BLOCK))
 
 
-@query("holdout_retrieve", top("qf = 1 and pf <> 1"))
+@query("holdout_retrieve", top("ql = 1 and pl <> 1"))
 def _holdout(spark, sf_dir):
     rows = folded(spark, sf_dir)
-    return neighbors(retrieval.holdout_retrieve(rows.filter("fold = 1"), rows, block_rows=BLOCK))
+    return neighbors(retrieval.holdout_retrieve(rows.filter("label = 1"), rows, block_rows=BLOCK))
 
 
 @query("leakage_check", f"with {FOLDED} select count(*) * 3 as retrieved, 0 as leaks from folded")
@@ -102,6 +100,35 @@ STORED = f"""{FOLDED}, near as (select a.review_id, b.review_id as other, row_nu
     from folded as a join folded as b on a.fold <> b.fold)"""
 
 
+def described(spark, sf_dir):
+    return folded(spark, sf_dir).select(
+        "*",
+        F.concat_ws(" ", F.lit("text"), F.col("review_id").cast("string")).alias("text"),
+        F.concat_ws(" ", F.lit("theme"), (F.col("review_id") % 7).cast("string")).alias("theme"),
+        F.lit("neutral").alias("sentiment"),
+    )
+
+
+# Stored: the examples of another run; the new run replaces them per review and version.
+@query(
+    "store_retrievals",
+    f"""with {STORED} select review_id, 'v3' as prompt_version, string_agg(cast(other as varchar), ',' order by rn) as shown
+        from near where rn <= 3 group by review_id
+    union all select review_id, 'v2', 'old' from folded""",
+)
+def _store(spark, sf_dir):
+    rows = described(spark, sf_dir)
+    near = retrieval.kfold_retrieve(rows, block_rows=BLOCK)
+    new = retrieval.examples_per_query(near, rows, rows).withColumn("prompt_version", F.lit("v3"))
+    old_example = F.array(
+        F.struct(F.lit("old").alias("text"), F.lit("t").alias("theme"), F.lit("s").alias("sentiment"), F.lit(0.0).alias("distance"))
+    )
+    old = rows.select("review_id", F.explode(F.array(F.lit("v2"), F.lit("v3"))).alias("prompt_version"), old_example.alias("examples"))
+    stored = retrieval.store_retrievals(old, new.select(*old.columns))
+    shown = F.transform("examples", lambda e: F.regexp_replace(e["text"], "text ", ""))
+    return stored.select("review_id", "prompt_version", F.array_join(shown, ",").alias("shown"))
+
+
 @query(
     "inspect_retrievals",
     f"""with {STORED} select review_id, 'v3' as prompt_version, concat('theme ', cast(review_id % 10 as varchar)) as predicted_theme,
@@ -109,12 +136,7 @@ STORED = f"""{FOLDED}, near as (select a.review_id, b.review_id as other, row_nu
         from near where rn <= 3""",
 )
 def _inspect(spark, sf_dir):
-    rows = folded(spark, sf_dir).select(
-        "*",
-        F.concat_ws(" ", F.lit("text"), F.col("review_id").cast("string")).alias("text"),
-        F.concat_ws(" ", F.lit("theme"), (F.col("review_id") % 7).cast("string")).alias("theme"),
-        F.lit("neutral").alias("sentiment"),
-    )
+    rows = described(spark, sf_dir)
     near = retrieval.kfold_retrieve(rows, block_rows=BLOCK)
     stored = retrieval.examples_per_query(near, rows, rows).withColumn("prompt_version", F.lit("v3"))
     predicted = rows.select(

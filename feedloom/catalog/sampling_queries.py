@@ -63,12 +63,12 @@ def _folds(spark, sf_dir):
     )
 
 
-# Stored labels are the given ones; the batch re-labels every third document twice and adds new ones.
+# Stored labels are the given ones; the batch labels the German documents, some of its sources twice.
 STORED = """select doc_id as review_id, case quality when 1 then 'UI/UX' else 'Other' end as theme,
     case toxic when 1 then 'negative' else 'positive' end as sentiment, 'first' as labeler, timestamp '2024-01-01 00:00:00' as labeled_at from labels"""
 BATCH = """select doc_id as review_id, 'Pricing' as theme, 'neutral' as sentiment, 'second' as labeler, timestamp '2024-02-01 00:00:00' as labeled_at
-    from documents where doc_id % 3 = 0
-    union all select doc_id, 'Notifications', 'negative', 'third', timestamp '2024-03-01 00:00:00' from documents where doc_id % 6 = 0"""
+    from documents where lang = 'de'
+    union all select doc_id, 'Notifications', 'negative', 'third', timestamp '2024-03-01 00:00:00' from documents where lang = 'de' and source in ('src2', 'src4')"""
 
 
 def stored_labels(spark, sf_dir):
@@ -92,10 +92,10 @@ def _save(spark, sf_dir):
 
 @query(
     "delete_label",
-    f"with stored as ({STORED}) select review_id, theme from stored where review_id not in (select doc_id from documents where doc_id % 4 = 0)",
+    f"with stored as ({STORED}) select review_id, theme from stored where review_id not in (select doc_id from documents where lang = 'en')",
 )
 def _delete(spark, sf_dir):
-    gone = table(spark, sf_dir, "documents").filter(F.col("doc_id") % 4 == 0).select(F.col("doc_id").alias("review_id"))
+    gone = table(spark, sf_dir, "documents").filter("lang = 'en'").select(F.col("doc_id").alias("review_id"))
     return labels.delete_labels(stored_labels(spark, sf_dir), gone).select("review_id", "theme")
 
 

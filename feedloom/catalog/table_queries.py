@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from feedloom.catalog import query
+from feedloom.catalog.classify_queries import labelled_ids
 from feedloom.catalog.inputs import raw_reviews, signals, table, with_tables
 from feedloom.catalog.prioritize_queries import pain_points
 from feedloom.operators import upsert
@@ -72,16 +73,17 @@ def _scan(spark, sf_dir):
     return table(spark, sf_dir, "documents")
 
 
-# Stored: the even reviews under changed text. Incoming: all reviews, every id twice; a null text breaks NOT NULL.
+# Stored: the labelled reviews under changed text. Incoming: all reviews, every id twice; a null text breaks NOT NULL.
 @query(
     "upsert_ignore",
     with_tables("raw_reviews")
-    + """ select app_id, review_id, case when id % 2 = 0 then 'stored' else text end as text from raw_reviews where id % 2 = 0 or id % 5 <> 0""",
+    + """ select app_id, review_id, case when id in (select doc_id from labels) then 'stored' else text end as text from raw_reviews
+        where id in (select doc_id from labels) or true_lang <> 'fr'""",
 )
 def _ignore(spark, sf_dir):
     r = raw_reviews(spark, sf_dir)
-    stored = r.filter(F.col("id") % 2 == 0).select("app_id", "review_id", F.lit("stored").alias("text"))
-    first = r.select("app_id", "review_id", F.when(F.col("id") % 5 != 0, F.col("text")).alias("text"), F.lit(0).alias("seq"))
+    stored = r.join(labelled_ids(spark, sf_dir), "id", "left_semi").select("app_id", "review_id", F.lit("stored").alias("text"))
+    first = r.select("app_id", "review_id", F.when(F.col("true_lang") != "fr", F.col("text")).alias("text"), F.lit(0).alias("seq"))
     again = first.withColumn("text", F.when(F.col("text").isNotNull(), F.lit("again"))).withColumn("seq", F.lit(1))
     incoming = first.unionByName(again)
     return upsert.upsert_ignore(stored, incoming, ["app_id", "review_id"], ["seq"], ["app_id", "review_id", "text"])
@@ -130,14 +132,14 @@ def _evolve(spark, sf_dir):
 @query(
     "snapshot_subset",
     with_tables("signals", "raw_reviews", "pain")
-    + """, sample as (select id, app_id from raw_reviews where id % 10 = 3 and app_id <> 'app0')
+    + """, sample as (select id, app_id from raw_reviews where id in (select doc_id from labels) and app_id <> 'app0')
     select 'reviews' as part, count(*) as n, sum(id) as checksum from raw_reviews where id in (select id from sample)
     union all select 'classifications', count(*), sum(review_id) from signals where review_id in (select id from sample)
     union all select 'pain_points', count(*), cast(sum(review_count) as hugeint) from pain where app_id in (select app_id from sample)""",
 )
 def _subset(spark, sf_dir):
     reviews = raw_reviews(spark, sf_dir)
-    sample = reviews.filter((F.col("id") % 10 == 3) & (F.col("app_id") != "app0"))
+    sample = reviews.join(labelled_ids(spark, sf_dir), "id", "left_semi").filter(F.col("app_id") != "app0")
     parts = upsert.snapshot_subset(reviews, signals(spark, sf_dir), pain_points(spark, sf_dir), sample)
     keys = {"reviews": "id", "classifications": "review_id", "pain_points": "review_count"}
     counted = None

@@ -62,6 +62,13 @@ def cache_split(reviews: DataFrame, cache: DataFrame) -> DataFrame:
     ).drop("_known")
 
 
+def progress_metrics(split: DataFrame) -> DataFrame:
+    """Reviews in all, served from the cache, and left to score."""
+    return split.agg(
+        F.count(F.lit(1)).alias("total"), F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses")
+    )
+
+
 def distinct_misses(split: DataFrame) -> DataFrame:
     """Uncached texts once each, however many reviews repeat them; the smallest review id gives the order."""
     misses = split.filter(~F.col("hit"))

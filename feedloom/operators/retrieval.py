@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.functions.vectors import hashed_embedding
+from feedloom.operators.upsert import upsert_replace
 from feedloom.plans.knn import BLOCK_ROWS, knn_join
 
 # Examples per review, texts per embedding request, default dimensions.
@@ -122,6 +123,11 @@ def leakage_check(neighbors: DataFrame, folded: DataFrame, key: str = "review_id
     )
 
 
+def store_retrievals(existing: DataFrame, new: DataFrame) -> DataFrame:
+    """The retrieval log after this run: one entry per review and prompt version, the new one wins."""
+    return upsert_replace(existing, new, ["review_id", "prompt_version"], ["examples"])
+
+
 def inspect_retrievals(retrievals: DataFrame, classifications: DataFrame) -> DataFrame:
     """The examples shown for each stored prediction, one per row."""
     return classifications.select("review_id", "prompt_version", "theme", "sentiment").join(

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedloom.plans.ordering import seeded_hash
+from feedloom.plans.skew import attach
 from feedloom.plans.staging import stage
 
 # Rows per block, and the most pivots held by a task.
@@ -51,7 +52,8 @@ def _assign(df: DataFrame, pivots: np.ndarray) -> DataFrame:
         cell = d.argmin(axis=1)
         return pd.DataFrame({"cell": cell.astype("int32"), "r": d[np.arange(len(d)), cell]})
 
-    return df.withColumn("_n", nearest("v", "np")).select("*", "_n.cell", "_n.r").drop("_n")
+    # Declared non-deterministic so that it is called once, not again inside a pushed filter.
+    return df.withColumn("_n", nearest.asNondeterministic()("v", "np")).select("*", "_n.cell", "_n.r").drop("_n")
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -90,7 +92,7 @@ def plan_cells(pool: DataFrame, block_rows: int = BLOCK_ROWS) -> Cells:
 
 def assign_cells(df: DataFrame, cells: Cells) -> DataFrame:
     """Add cell, r (distance to its pivot) and np; rows of groups without a pool row drop out."""
-    joined = df.join(cells.usable, "g")
+    joined = attach(df, cells.usable, ["g"], by=["id"])
     if len(cells.pivots) == 1:
         return joined.withColumn("cell", F.lit(0)).withColumn("r", F.lit(0.0))
     return _assign(joined, cells.pivots)
@@ -132,8 +134,7 @@ def search_cells(
         F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("nq")
     )
     q = (
-        q.withColumnRenamed("cell", "home")
-        .join(homes, ["g", "home"])
+        attach(q.withColumnRenamed("cell", "home"), homes, ["g", "home"], by=["id"])
         .withColumn("qb", F.pmod(F.xxhash64("id"), F.col("nq")).cast("int"))
     )
     # A group of one block is searched whole.
@@ -147,7 +148,7 @@ def search_cells(
         summaries = stage(_cell_summaries(large_p, k, labelled, block_rows), "cells")
         routed = routed.unionByName(_route(large_q, homes, summaries, cells.pivots, k, by_edge))
         blocked = blocked.unionByName(
-            large_p.join(summaries.select("g", "cell", "nb"), ["g", "cell"]).select(
+            attach(large_p, summaries.select("g", "cell", "nb"), ["g", "cell"], by=["id"]).select(
                 "g", "cell", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int").alias("pb"), "id", "v", "x", "f"
             )
         )
@@ -177,14 +178,14 @@ def _route(q: DataFrame, homes: DataFrame, summaries: DataFrame, pivots: np.ndar
         .cogroup(_fresh(q_blocks.join(summaries, "g")).groupBy("g", "home", "qb"))
         .applyInPandas(
             _visit(pivots, k, by_edge),
-            "g string, home int, qb int, id bigint, v array<double>, x bigint, f double, bound double, targets array<bigint>",
+            "g string, home int, qb int, id bigint, v array<double>, x bigint, f double, bound double, targets array<int>",
         ),
         "visits",
     )
-    return visits.select("*", F.explode("targets").alias("_t")).select(
-        "g", "home", "qb", "id", "v", "x", "f", "bound",
-        F.shiftright("_t", 20).cast("int").alias("cell"),
-        F.col("_t").bitwiseAND(F.lit((1 << 20) - 1)).cast("int").alias("pb"),
+    visited = visits.select("g", "home", "qb", "id", "v", "x", "f", "bound", F.explode("targets").alias("cell"))
+    return attach(visited, summaries.select("g", "cell", "nb"), ["g", "cell"], by=["id"]).select(
+        "g", "home", "qb", "id", "v", "x", "f", "bound", "cell",
+        F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("pb"),
     )
 
 
@@ -262,11 +263,8 @@ def _visit(pivots: np.ndarray, k: int, per_label: bool):
             ]
         )
         reach = lower <= bound[:, None]
-        blocks = cells["nb"].to_numpy(int)
-        targets = np.repeat(ids << 20, blocks) + np.concatenate([np.arange(b) for b in blocks])
-        spread = np.repeat(reach, blocks, axis=1)
         plain = queries["g"].astype(object)
-        return queries.assign(g=plain, bound=bound, targets=[targets[row] for row in spread])[
+        return queries.assign(g=plain, bound=bound, targets=[ids[row].astype("int32") for row in reach])[
             ["g", "home", "qb", "id", "v", "x", "f", "bound", "targets"]
         ]
 
