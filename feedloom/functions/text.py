@@ -217,12 +217,10 @@ def demojize(text: Column, extra: dict[str, str] | None = None) -> Column:
     tones = F.from_json(F.lit(json.dumps(SKIN_TONES)), "map<string,string>")
 
     def rename(piece: Column) -> Column:
-        base = F.regexp_replace(piece, rf"\x{{FE0F}}?{tone}?$", "")
-        alias = F.coalesce(aliases[piece], aliases[base])
-        suffix = tones[F.regexp_extract(piece, f"({tone})$", 1)]
-        return F.when(alias.isNull(), piece).otherwise(
-            F.concat(F.lit(" :"), F.concat_ws("_", alias, suffix), F.lit(": "))
-        )
+        alias = aliases[F.regexp_replace(piece, rf"\x{{FE0F}}?{tone}?$", "")]
+        shade = F.coalesce(F.concat(F.lit("_"), tones[F.regexp_extract(piece, f"({tone})$", 1)]), F.lit(""))
+        # A piece without a name stays as it is.
+        return F.coalesce(F.concat(F.lit(" :"), alias, shade, F.lit(": ")), piece)
 
     pieces = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), rename)
     return F.when(text.rlike(f"[{leads}]"), F.array_join(pieces, "")).otherwise(text)
