@@ -91,7 +91,8 @@ def _ignore(spark, sf_dir):
 
 @query(
     "incremental_ingest",
-    """select 'app9' as app_id, cast(doc_id as varchar) as review_id from documents""",
+    """select 'app9' as app_id, cast(doc_id as varchar) as review_id,
+        row_number() over (order by cast(doc_id as varchar)) as id from documents""",
 )
 def _incremental(spark, sf_dir):
     path, out, progress = fresh_path(spark, "dump"), fresh_path(spark, "reviews"), fresh_path(spark, "progress")
@@ -99,7 +100,7 @@ def _incremental(spark, sf_dir):
     # Two runs: the second finds nothing new.
     for _ in range(2):
         ingest_stream(spark, path, out, progress, "app9", "App Nine", clean=None).awaitTermination()
-    return spark.read.parquet(out).select("app_id", "review_id")
+    return spark.read.parquet(out).select("app_id", "review_id", "id")
 
 
 @query(

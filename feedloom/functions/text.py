@@ -248,8 +248,3 @@ def cache_key(prompt_version: Column, text: Column, context_hash: Column | None
     for part in parts[1:]:
         glued = F.concat(glued, F.lit(":"), part)
     return F.sha2(glued, 256)
-
-
-def surrogate_id(*keys: str) -> Column:
-    """Deterministic 64-bit row id from the natural key; no coordination between writers."""
-    return F.xxhash64(*keys)

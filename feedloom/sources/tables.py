@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from feedloom.operators.upsert import evolve, new_rows
+from feedloom.plans.ordering import grouped_position
+from feedloom.plans.staging import stage_counting
 from feedloom.schemas import PAIN_POINTS
 from feedloom.sources.readers import path_exists
 
@@ -23,21 +25,31 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
     return spark.read.schema(nullable).parquet(path)
 
 
+def next_ids(stored: DataFrame, fresh: DataFrame, keys: list[str]) -> DataFrame:
+    """``fresh`` with ``id`` going on from the largest stored one, in key order: dense, and never shared."""
+    last = stored.agg(F.coalesce(F.max("id"), F.lit(0)).alias("n")).scalar()
+    placed = grouped_position(fresh, [], [F.col(k) for k in keys], name="_place")
+    return placed.withColumn("id", F.col("_place") + last).drop("_place")
+
+
 def insert_new(
     spark: SparkSession, path: str, batch: DataFrame, schema: T.StructType, keys: list[str], order: list[str]
 ) -> int:
     """Append the rows of ``batch`` whose key is not stored, first in ``order`` wins; returns how many.
 
-    Rows that miss a required value are skipped. Reads only the key columns of the table.
+    Rows that miss a required value are skipped; a column ``id`` of the schema is numbered on. Reads
+    only the key columns of the table, which has one writer at a time.
     """
-    from pyspark.sql import Observation
-
     required = [f.name for f in schema.fields if not f.nullable]
-    stored = read_table(spark, path, T.StructType([schema[k] for k in keys]))
-    fresh = evolve(new_rows(stored, batch, keys, order, required), schema)
-    seen = Observation()
-    fresh.observe(seen, F.count(F.lit(1)).alias("inserted")).write.mode("append").parquet(path)
-    return seen.get["inserted"]
+    numbered = "id" in schema.names and "id" not in keys
+    stored = read_table(spark, path, T.StructType([schema[k] for k in ([*keys, "id"] if numbered else keys)]))
+    fresh = new_rows(stored, batch, keys, order, required)
+    if numbered:
+        fresh = next_ids(stored, fresh.drop("id"), keys)
+    ready, inserted = stage_counting(evolve(fresh, schema), "insert")
+    if inserted:
+        ready.write.mode("append").parquet(path)
+    return inserted
 
 
 def write_version(df: DataFrame, root: str) -> str:

@@ -8,26 +8,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from feedloom.functions.text import surrogate_id
-from feedloom.operators.upsert import new_rows
-from feedloom.sources.readers import DUMP_SCHEMA, normalize_dump, path_exists
+from feedloom.functions.dates import parse_date
+from feedloom.operators.cleaning import add_cleaned_text
+from feedloom.schemas import REVIEWS
+from feedloom.sources.readers import DUMP_SCHEMA, normalize_dump
+from feedloom.sources.tables import insert_new
 
 KEYS = ["app_id", "review_id"]
 
 
-def append_new(batch: DataFrame, table_path: str) -> None:
+def append_new(batch: DataFrame, table_path: str) -> int:
     """Append the rows whose (app_id, review_id) is not stored; first in the batch wins.
 
-    A repeated batch finds its own rows stored and adds nothing. Only the key columns of the
-    stored table are read.
+    A repeated batch finds its own rows stored and adds nothing.
     """
-    spark = batch.sparkSession
-    if path_exists(spark, table_path):
-        stored = spark.read.schema("app_id string, review_id string").parquet(table_path)
-    else:
-        stored = spark.createDataFrame([], "app_id string, review_id string")
-    fresh = new_rows(stored, batch, KEYS, ["_row"], [*KEYS, "text"]).drop("_row")
-    fresh.withColumn("id", surrogate_id(*KEYS)).write.mode("append").parquet(table_path)
+    return insert_new(batch.sparkSession, table_path, batch, REVIEWS, KEYS, ["_row"])
+
+
+def normalize_only(batch: DataFrame) -> DataFrame:
+    """Cleaned text and typed dates, no rows dropped."""
+    return add_cleaned_text(batch).withColumn("review_date", parse_date(F.col("review_date")))
 
 
 def ingest_stream(
@@ -42,7 +42,8 @@ def ingest_stream(
 ) -> StreamingQuery:
     """Process every dump file not seen before, then stop; run it again for later files.
 
-    ``clean`` is applied to each micro-batch, whose input order is the column ``_row``.
+    ``clean`` is applied to each micro-batch, whose input order is the column ``_row``; without it
+    texts and dates are only normalised.
     """
     source = spark.readStream.schema(DUMP_SCHEMA)
     if max_files is not None:
@@ -51,7 +52,7 @@ def ingest_stream(
 
     def store(batch: DataFrame, _: int) -> None:
         ordered = batch.withColumn("_row", F.monotonically_increasing_id())
-        append_new(clean(ordered) if clean else ordered, table_path)
+        append_new((clean or normalize_only)(ordered), table_path)
 
     return (
         raw.writeStream.trigger(availableNow=True)

@@ -35,6 +35,7 @@ def test_csv_ingest_end_to_end(spark, tmp_path):
     assert tables.insert_new(spark, store, clean, REVIEWS, ["app_id", "review_id"], list(readers.INPUT_ORDER)) == 0
     rows = {r.review_id: r for r in tables.read_table(spark, store, REVIEWS).collect()}
     assert rows["0"].cleaned_text == 'the app is great, "really" and fast' and rows["0"].thumbs_up == 0
+    assert sorted(r.id for r in rows.values()) == [1, 2]
     assert rows["1"].rating == 1 and rows["1"].source == "csv" and set(rows) == {"0", "1"}
 
 
