@@ -1,4 +1,4 @@
-"""Following pointers to their end by repeated doubling: log2(depth) joins for any forest."""
+"""Following pointers to their end by repeated doubling: a logarithmic number of joins for any forest."""
 
 from __future__ import annotations
 
@@ -11,18 +11,25 @@ from feedloom.plans.staging import stage, stage_counting
 def follow(links: DataFrame, name: str = "links") -> DataFrame:
     """(node, parent) of a forest whose roots point to themselves -> (node, root).
 
-    Many nodes may share a parent; the joined side has one row per node, so a hot parent is a
-    skewed probe side, which adaptive execution splits.
+    Two doublings per written step; the second one also tells whether anything still moves. Many
+    nodes may share a parent; the joined side has one row per node, so a hot parent is a skewed
+    probe side of a join that is written at once, which adaptive execution splits.
     """
     current = stage(links.select("node", "parent"), name)
     while True:
-        up = current.select(F.col("node").alias("parent"), F.col("parent").alias("_up"))
-        jumped = current.select("node", "parent").join(up, "parent").select(
-            "node", F.col("_up").alias("parent"), (F.col("_up") != F.col("parent")).alias("moved")
-        )
-        current, moved = stage_counting(jumped, name, F.col("moved"))
+        once = _jump(current)
+        twice = _jump(once.select("node", "parent"))
+        current, moved = stage_counting(twice, name, F.col("moved"))
+        current = current.select("node", "parent")
         if moved == 0:
-            return current.drop("moved").withColumnRenamed("parent", "root")
+            return current.withColumnRenamed("parent", "root")
+
+
+def _jump(links: DataFrame) -> DataFrame:
+    up = links.select(F.col("node").alias("parent"), F.col("parent").alias("_up"))
+    return links.join(up, "parent").select(
+        "node", F.col("_up").alias("parent"), (F.col("_up") != F.col("parent")).alias("moved")
+    )
 
 
 def topmost(links: DataFrame, name: str = "topmost") -> DataFrame:
