@@ -128,8 +128,11 @@ def search_cells(
     """The neighbour join over rows already assigned to cells.
 
     ``by_edge``: ties break by the unordered id pair, and per label only the best pairs of a block
-    are looked for (for spanning trees; k must be 1).
+    are looked for (for spanning trees; k must be 1). A column ``limit`` of the queries bounds the
+    distances looked for; a query without a partner within its limit has no row.
     """
+    if "limit" not in q.columns:
+        q = q.withColumn("limit", F.lit(float("inf")))
     homes = q.groupBy("g", F.col("cell").alias("home")).agg(
         F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("nq")
     )
@@ -139,7 +142,7 @@ def search_cells(
     )
     # A group of one block is searched whole.
     routed = q.filter("np = 1").select(
-        "g", "home", "qb", "id", "v", "x", "f", F.lit(float("inf")).alias("bound"),
+        "g", "home", "qb", "id", "v", "x", "f", F.col("limit").alias("bound"),
         F.lit(0).alias("cell"), F.lit(0).alias("pb"),
     )
     blocked = p.filter("np = 1").select("g", "cell", F.lit(0).alias("pb"), "id", "v", "x", "f")
@@ -173,7 +176,7 @@ def _route(q: DataFrame, homes: DataFrame, summaries: DataFrame, pivots: np.ndar
     """Queries once per pool block that can hold a closer row; one task per query block reads only cell summaries."""
     q_blocks = homes.select("g", "home", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("qb"))
     visits = stage(
-        q.select("g", "home", "qb", "id", "v", "x", "f")
+        q.select("g", "home", "qb", "id", "v", "x", "f", "limit")
         .groupBy("g", "home", "qb")
         .cogroup(_fresh(q_blocks.join(summaries, "g")).groupBy("g", "home", "qb"))
         .applyInPandas(
@@ -246,6 +249,7 @@ def _visit(pivots: np.ndarray, k: int, per_label: bool):
             s_x = np.concatenate(cells["s_x"].to_numpy())
             upper[queries["x"].to_numpy("int64")[:, None] == s_x[None, :]] = np.inf
         bound = np.partition(upper, k - 1, axis=1)[:, k - 1] if upper.shape[1] >= k else np.full(len(queries), np.inf)
+        bound = np.minimum(bound, queries["limit"].to_numpy(float))
         if per_label:
             bound = pd.Series(bound).groupby(queries["x"].to_numpy()).transform("min").to_numpy()
         bound = bound + _SLACK * (1.0 + np.where(np.isfinite(bound), bound, 0.0))
@@ -310,7 +314,8 @@ def _search(k: int, by_edge: bool):
             )
             i, j, weight = i[order], j[order], weight[order]
             place = np.arange(len(i)) - np.searchsorted(i, i)
-            keep = place < k
+            # Beyond the bound not every cell was visited, so such a row could be wrong.
+            keep = (place < k) & (weight <= part["bound"].to_numpy(float)[i])
             parts.append(
                 pd.DataFrame(
                     {
