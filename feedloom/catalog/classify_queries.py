@@ -166,7 +166,7 @@ def _lexicon(spark, sf_dir):
 
 @query(
     "classify_reviews",
-    SCORED.replace("with recursive ", "with recursive ")
+    SCORED
     + """, keyed as (select id, sha256(concat('v1', ':', cleaned_text)) as cache_key from cleaned),
     cached as (select cache_key, min(id) as first_id from keyed where id in (select doc_id from labels) group by cache_key)
     select k.id as review_id, case when c.cache_key is not null then 'Other' else theme end as theme,

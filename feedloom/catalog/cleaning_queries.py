@@ -30,7 +30,6 @@ totals as (select lang, sum(n) as total from counts group by lang)"""
 
 def judged_language(source: str, keys: str, text: str = "cleaned_text") -> str:
     """CTEs scoring every key of ``source`` and keeping its best language."""
-    first = keys.split(",")[0]
     on = " and ".join(f"s.{k.strip()} = p.{k.strip()}" for k in keys.split(","))
     return f"""
 tok as (select {keys}, {BUCKET} as bucket from
