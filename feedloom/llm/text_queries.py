@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
-from feedloom.llm import ranking
+from feedloom.llm import ranking, secrets
 from feedloom.llm.bpe import round_trip
 from feedloom.llm.common import table
 from feedloom.llm.quality_rules import quality_rules
@@ -90,3 +91,15 @@ def op2_language_divergence(spark, sf_dir):
 def op4_bpe_streaming(spark, sf_dir):
     """Every text encoded and decoded again, as digests."""
     return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op7_markov_secrets")
+def op7_markov_secrets(spark, sf_dir):
+    """The secrets in every text: those of the fixed patterns, and random-looking strings besides."""
+    n = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+    return secrets.scan(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        *[n(k).alias(f"n_{name}") for k, name in enumerate(secrets.KINDS[:3])],
+        F.sha2(secrets.listed("base"), 256).alias("base_sha256"),
+        secrets.listed("spans").alias("spans"),
+    )
