@@ -19,6 +19,7 @@ import json
 import re
 from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -326,3 +327,23 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
         return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select("doc_id", both_ways("text").alias("r")).select("doc_id", "r.*")
+
+
+def encode_documents(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, source, n_tokens, token_ids, decoded_sha256 of every row."""
+    content = _file(docs.sparkSession, path)
+
+    @F.pandas_udf("n_tokens long, token_ids array<int>, decoded_sha256 string")
+    def both_ways(texts: pd.Series) -> pd.DataFrame:
+        coder, rows = encoder(content.value), []
+        for text in texts:
+            ids: list[int] = []
+            coder.encode(text or "", ids.extend)
+            decoder, sha = Decoder(coder.v), hashlib.sha256()
+            for at in range(0, len(ids), 50_000):
+                sha.update(decoder.feed(ids[at : at + 50_000]).encode())
+            sha.update(decoder.finish().encode())
+            rows.append((len(ids), np.array(ids, dtype="int32"), sha.hexdigest()))
+        return pd.DataFrame(rows, columns=["n_tokens", "token_ids", "decoded_sha256"])
+
+    return docs.select("doc_id", "source", both_ways("text").alias("r")).select("doc_id", "source", "r.*")
