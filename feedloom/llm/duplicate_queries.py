@@ -8,6 +8,7 @@ from feedloom.llm.common import table
 from feedloom.llm.lines import without_repeats
 from feedloom.llm.registry import query
 from feedloom.llm.simhash import near_duplicates
+from feedloom.llm.suffixes import digest_without_repeats
 
 
 @query("op3_simhash_anchor_covering")
@@ -29,3 +30,9 @@ def op6_fuzzy_lines(spark, sf_dir):
         F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
         F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_kept_chars"),
     )
+
+
+@query("op10_suffix_merge_sort")
+def op10_suffix_merge_sort(spark, sf_dir):
+    """Every document without the bytes that an earlier equal string of 100 bytes covers."""
+    return digest_without_repeats(table(spark, sf_dir, "documents"))
