@@ -92,11 +92,11 @@ def sql_text(text: str) -> str:
 
 
 def _prompt(version: str) -> None:
-    line = "concat(cast(review_index as varchar), '. ', text)"
+    line = "concat('[', cast(review_index as varchar), '] ', text)"
     if version == "v3":
         line = (
-            "concat(cast(review_index as varchar), '. ', text, case when review_index % 2 = 0 then concat("
-            "chr(10), '  Similar labelled review: \"', 'sample ', cast(first_id as varchar), '\" -> theme=Pricing, sentiment=negative') else '' end)"
+            "concat('[', cast(review_index as varchar), '] ', text, case when review_index % 2 = 0 then concat("
+            "chr(10), '    Pricing / negative <= ', 'sample ', cast(first_id as varchar)) else '' end)"
         )
 
     @query(

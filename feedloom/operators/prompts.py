@@ -1,4 +1,8 @@
-"""Prompt text per version, rendered as columns over batches of reviews."""
+"""Prompt text per version, rendered as columns over batches of reviews.
+
+A prompt has sections in capitals: what to do, the allowed values, for some versions help, then the
+shape of the answer and the batch, one review per line behind its index in brackets.
+"""
 
 from __future__ import annotations
 
@@ -9,52 +13,52 @@ from pyspark.sql import functions as F
 
 from feedloom.schemas import SENTIMENTS, THEME_NAMES, THEMES
 
-# Worked examples shown by v2 (text, theme, sentiment, severity).
-EXAMPLES = [
-    ("The app freezes for a minute whenever I open my order list.", "Performance & Crashes", "negative", 4),
-    ("New phone, and the login code never reaches me. I am locked out.", "Login & Account", "negative", 5),
-    ("It would be nice to export my notes to a spreadsheet.", "Feature Request", "neutral", 2),
-    ("Clear screens and everything is where I look for it.", "UI/UX", "positive", 1),
-    ("My card was billed two times and nobody has returned the money.", "Payments & Billing", "negative", 5),
+# Heads the reviews of a batch; nothing but reviews follows it.
+BATCH = "BATCH"
+# Worked answers of v2: theme, sentiment, severity, review.
+SOLVED = [
+    ("Notifications", "negative", 3, "Eleven pings before breakfast and the mute switch does nothing"),
+    ("Data & Privacy", "neutral", 2, "why would a torch need my contacts?"),
+    ("Customer Support", "positive", 1, "Chat agent fixed my delivery slot in two minutes, lovely"),
 ]
-SCALE = "Severity is a whole number from 1 (nothing wrong) to 5 (critical, the user is blocked)."
-ANSWER = "Answer with one classification per review: its review_index, theme, sentiment, severity and one sentence of reasoning."
+SHAPE = (
+    'JSON {"classifications": [...]} with exactly one entry for each index of the batch. Fields of an entry: '
+    "review_index, theme, sentiment, severity, reasoning (a short phrase)."
+)
+
+
+def _section(title: str, *lines: str) -> list[str]:
+    return [title, *lines, ""]
 
 
 def _intro(version: str) -> str:
-    sentiments = "Choose one sentiment: " + ", ".join(SENTIMENTS)
-    if version == "v1":
-        head = ["Classify every app review below.", "", "Choose one theme: " + ", ".join(THEME_NAMES)]
-    else:
-        head = [
-            "You sort app reviews for a product team. Give each review one theme, one sentiment and a severity.",
-            "",
-            "Themes:",
-            *[f"- {name}: {meaning}" for name, meaning in THEMES],
-            "",
-        ]
-    lines = [*head, sentiments, SCALE]
+    themes = ["theme is one of: " + " | ".join(THEME_NAMES)] if version == "v1" else ["theme is one of"]
+    if version != "v1":
+        themes += [f"  {name} = {meaning}" for name, meaning in THEMES]
+    lines = _section("TASK", "Label the store reviews of the batch.")
+    lines += _section(
+        "VALUES",
+        *themes,
+        "sentiment is one of: " + " | ".join(SENTIMENTS),
+        "severity runs from 1, no harm done, up to 5, the product cannot be used",
+    )
     if version == "v2":
-        lines += ["", "Examples:"]
-        for text, theme, sentiment, severity in EXAMPLES:
-            lines += [f'Review: "{text}"', f"-> theme={theme}, sentiment={sentiment}, severity={severity}"]
+        lines += _section("SOLVED", *[f"{theme} / {sentiment} / {severity} <= {text}" for theme, sentiment, severity, text in SOLVED])
     if version == "v3":
-        lines += ["", "Some reviews come with similar labelled ones. Use them as a guide, but judge the review itself."]
-    return "\n".join([*lines, "", ANSWER, "", "Reviews:", ""])
+        lines += _section("HINTS", "An indented line quotes a labelled review near the one above it. Labels may differ.")
+    lines += _section("ANSWER", SHAPE)
+    return "\n".join([*lines, BATCH, ""])
 
 
 def numbered(item: Column) -> Column:
-    return F.concat(item["review_index"].cast("string"), F.lit(". "), item["text"])
+    return F.concat(F.lit("["), item["review_index"].cast("string"), F.lit("] "), item["text"])
 
 
 def with_examples(item: Column) -> Column:
     """A numbered review followed by the labelled examples retrieved for it, if any."""
     shown = F.transform(
         item["examples"],
-        lambda e: F.concat(
-            F.lit('\n  Similar labelled review: "'), e["text"], F.lit('" -> theme='), e["theme"],
-            F.lit(", sentiment="), e["sentiment"],
-        ),
+        lambda e: F.concat(F.lit("\n    "), e["theme"], F.lit(" / "), e["sentiment"], F.lit(" <= "), e["text"]),
     )
     return F.concat(numbered(item), F.coalesce(F.array_join(shown, ""), F.lit("")))
 

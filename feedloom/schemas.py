@@ -4,18 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-# The ten themes, in display order, with a description of each.
+# The names of the ten themes, in display order. The notes tell a scorer where each one ends.
 THEMES = [
-    ("Performance & Crashes", "The app crashes, hangs, stutters, is slow, or uses up the battery."),
-    ("Login & Account", "Signing in fails, codes or passwords do not work, or the account is blocked."),
-    ("Payments & Billing", "Wrong or failed charges, missing refunds, trouble with cards or transfers."),
-    ("UI/UX", "How the app looks and flows: screens, navigation, legibility, ease of use."),
-    ("Feature Request", "A wish for something the app cannot do yet or that rivals offer."),
-    ("Customer Support", "Reaching support, waiting for it, and how good its answers are."),
-    ("Pricing", "What the app or its plans cost, price rises, and whether it is worth the money."),
-    ("Notifications", "Alerts and reminders that are too many, absent, or faulty."),
-    ("Data & Privacy", "What data is taken, which permissions are asked for, and whether it is safe."),
-    ("Other", "Everything else, such as praise without details."),
+    ("Performance & Crashes", "the program itself breaks down: freezing, quitting, lagging, draining the phone"),
+    ("Login & Account", "getting in or staying in: passwords, codes, sessions, profiles"),
+    ("Payments & Billing", "money moved wrongly: double bookings, refunds, receipts, declined cards"),
+    ("UI/UX", "layout and handling, where nothing is broken but something is hard or pleasant to use"),
+    ("Feature Request", "something absent that the writer would like to have"),
+    ("Customer Support", "dealings with the people behind the product"),
+    ("Pricing", "the amount asked, as opposed to how it was charged"),
+    ("Notifications", "messages pushed to the device, or those that fail to come"),
+    ("Data & Privacy", "what is collected, shared, lost or asked access to"),
+    ("Other", "none of these"),
 ]
 THEME_NAMES = [name for name, _ in THEMES]
 # The sentiment labels.

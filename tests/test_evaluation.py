@@ -11,12 +11,17 @@ from feedloom.schemas import LABELS, PM_RANKINGS
 
 
 def judged(spark):
+    """Seven reviews, two themes apart from the truth and three sentiments; one of them has no prediction."""
+    truth = ["Pricing", "Pricing", "Login & Account", "Notifications", "Notifications", "Notifications", "Other"]
+    guess = ["Pricing", "Notifications", "Login & Account", "Notifications", "Pricing", "Notifications", None]
+    mood = ["negative", "neutral", "positive", "neutral", "negative", "neutral", "positive"]
+    felt = ["negative", "negative", "positive", "positive", "negative", "positive", None]
     evaluated = spark.createDataFrame(
-        [(1, "t1", "UI/UX", "positive"), (2, "t2", "Pricing", "negative"), (3, "t3", "Feature Request", "neutral")],
+        [(10 + i, f"review {i}", t, m) for i, (t, m) in enumerate(zip(truth, mood, strict=True))],
         "id bigint, cleaned_text string, true_theme string, true_sentiment string",
     )
     predictions = spark.createDataFrame(
-        [(1, "v1", "UI/UX", "positive", 1, "a"), (2, "v1", "Pricing", "negative", 4, "b"), (3, "v1", "Other", "neutral", 1, "c")],
+        [(10 + i, "v1", t, m, 3, "why") for i, (t, m) in enumerate(zip(guess, felt, strict=True)) if t],
         "review_id bigint, prompt_version string, theme string, sentiment string, severity int, reasoning string",
     )
     return evaluation.judged(evaluated, predictions)
@@ -26,11 +31,13 @@ def test_accuracy_and_errors(spark):
     rows = judged(spark)
     cells = evaluation.confusion_cells(rows)
     acc = {r.field: (r.n, r.accuracy) for r in evaluation.accuracy(cells).collect()}
-    assert acc["theme"] == (3, pytest.approx(2 / 3)) and acc["sentiment"] == (3, 1.0)
-    assert [r.id for r in evaluation.misclassified(rows).collect()] == [3]
-    report = {r.label: (r.precision, r.recall, r.f1, r.support) for r in evaluation.class_report(cells).filter("field = 'theme'").collect()}
-    assert report["Other"] == (0.0, 0.0, 0.0, 0) and report["Feature Request"] == (0.0, 0.0, 0.0, 1) and report["UI/UX"] == (1.0, 1.0, 1.0, 1)
-    assert evaluation.confusion_matrix(cells).filter("field = 'theme'").count() == 16
+    assert acc["theme"] == (6, pytest.approx(4 / 6)) and acc["sentiment"] == (6, pytest.approx(3 / 6))
+    assert sorted(r.id for r in evaluation.misclassified(rows).collect()) == [11, 13, 14, 15]
+    report = {r.label: (r.precision, r.recall, r.support) for r in evaluation.class_report(cells).filter("field = 'theme'").collect()}
+    assert report == {
+        "Pricing": (0.5, 0.5, 2), "Login & Account": (1.0, 1.0, 1), "Notifications": (pytest.approx(2 / 3), pytest.approx(2 / 3), 3),
+    }
+    assert evaluation.confusion_matrix(cells).filter("field = 'theme'").count() == 9
     best = evaluation.compare_versions(rows).filter("best").collect()
     assert [(r.field, r.prompt_version) for r in best] == [("theme", "v1")]
 
@@ -45,10 +52,12 @@ def rankings(spark, rows):
 
 def test_agreement(spark):
     assert agreement.agreement(rankings(spark, [])).count() == 0
-    assert agreement.agreement(rankings(spark, [("alice", "Crashes", 1)])).count() == 0
-    same = [(r, p, k) for r in ("alice", "bob") for p, k in (("Crashes", 1), ("Billing", 2))]
-    row = agreement.agreement(rankings(spark, same)).first()
-    assert row.spearman_rho == pytest.approx(1.0) and row.top5_jaccard_overlap == 1.0 and row.n_reviewers == 2 and row.spearman_pvalue is None
+    assert agreement.agreement(rankings(spark, [("ines", f"p{i}", i) for i in range(4)])).count() == 0
+    opposed = [("ines", f"p{i}", i) for i in range(7)] + [("juro", f"p{i}", 6 - i) for i in range(7)]
+    row = agreement.agreement(rankings(spark, opposed)).first()
+    assert row.spearman_rho == pytest.approx(-1.0) and row.n_reviewers == 2
+    # The upper fives of seven share three.
+    assert row.top5_jaccard_overlap == pytest.approx(3 / 7)
 
 
 def test_spearman_with_ties_matches_pandas(spark):

@@ -3,8 +3,9 @@ from pyspark.sql import functions as F
 
 from feedloom.operators import painpoints, prioritize
 
-ROWS = [("A", 10, 5.0, 10, 5, 100), ("B", 5, 3.0, 5, 5, 50), ("C", 1, 1.0, 0, 0, 0)]
 SCHEMA = "theme string, review_count int, weighted_severity double, last_30_count int, prev_30_count int, reach_sum int"
+# Spread by hand so that every scaled value is a round one: counts 2 to 42, severities 1.5 to 4.5, reach 10 to 210.
+ROWS = [("calm", 2, 1.5, 1, 3, 10), ("steady", 12, 4.5, 6, 6, 60), ("loud", 42, 3.0, 30, 12, 210), ("new", 22, 2.25, 4, 0, 110)]
 
 
 def scored(spark, rows=ROWS, **params):
@@ -13,26 +14,29 @@ def scored(spark, rows=ROWS, **params):
 
 def test_component_scores(spark):
     got = scored(spark)
-    assert got["A"].frequency_score == 100.0 and got["A"].severity_score == 100.0 and got["C"].severity_score == 0.0
-    assert [got[t].trend_score for t in "ABC"] == [100.0, 50.0, 50.0]
+    assert {t: r.frequency_score for t, r in got.items()} == {"calm": 0.0, "steady": 25.0, "loud": 100.0, "new": 50.0}
+    assert {t: r.reach_score for t, r in got.items()} == {"calm": 0.0, "steady": 25.0, "loud": 100.0, "new": 50.0}
+    # Severity has fixed ends, 1 and 5.
+    assert [got[t].severity_score for t in ("calm", "steady", "loud", "new")] == [12.5, 87.5, 50.0, 31.25]
+    assert got["steady"].trend_score == 50.0 and got["calm"].trend_score < 50.0 < got["new"].trend_score
     w = prioritize.DEFAULT_WEIGHTS
-    assert got["B"].priority_score == pytest.approx(sum(w[k] * got["B"][f"{k}_score"] for k in w))
+    for r in got.values():
+        assert r.priority_score == pytest.approx(sum(w[k] * r[f"{k}_score"] for k in w))
 
 
-def test_single_row_and_empty(spark):
-    one = scored(spark, ROWS[:1])["A"]
-    assert one.frequency_score == 100.0 and one.reach_score == 100.0
-    empty = prioritize.score_pain_points(spark.createDataFrame([], SCHEMA), scope=())
-    assert empty.count() == 0 and {"frequency_score", "severity_score", "trend_score", "reach_score", "priority_score"} <= set(empty.columns)
+def test_alone_or_none(spark):
+    (only,) = scored(spark, [("calm", 7, 2.0, 0, 0, 3)]).values()
+    assert only.frequency_score == only.reach_score == 100.0 and only.severity_score == 25.0
+    nothing = prioritize.score_pain_points(spark.createDataFrame([], SCHEMA), scope=())
+    assert nothing.count() == 0 and {f"{k}_score" for k in ("frequency", "severity", "trend", "reach", "priority")} <= set(nothing.columns)
 
 
 def test_weights(spark):
-    trend = {"frequency": 0, "severity": 0, "trend": 1, "reach": 0}
-    df = prioritize.score_pain_points(spark.createDataFrame(ROWS, SCHEMA), trend, ())
+    reach = {"frequency": 0, "severity": 0, "trend": 0, "reach": 1}
+    df = prioritize.score_pain_points(spark.createDataFrame(ROWS, SCHEMA), reach, ())
     ranked = prioritize.rank_backlog(df, (), ("theme",)).orderBy("backlog_rank")
-    assert [r.theme for r in ranked.collect()] == ["A", "B", "C"]
-    zero = {k: 0 for k in trend}
-    assert {r.priority_score for r in scored(spark, weights=zero).values()} == {0.0}
+    assert [r.theme for r in ranked.collect()] == ["loud", "new", "steady", "calm"]
+    assert {r.priority_score for r in scored(spark, weights=dict.fromkeys(reach, 0)).values()} == {0.0}
 
 
 def test_ranks_are_distributed_and_per_scope(spark):
