@@ -12,7 +12,7 @@ from feedloom.operators import retrieval
 
 DIM = 16
 # Small blocks, so that the given tables span several cells.
-BLOCK = 500
+BLOCK = 60
 
 FOLDED = "folded as (select vec_id as review_id, embedding, cast(vec_id % 5 as bigint) as fold, label from embeddings)"
 DIST = "list_sum(list_transform(range(1, len(a.embedding) + 1), lambda i: (cast(a.embedding[i] as double) - cast(b.embedding[i] as double)) * (cast(a.embedding[i] as double) - cast(b.embedding[i] as double))))"

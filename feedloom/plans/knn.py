@@ -25,6 +25,9 @@ from feedloom.plans.staging import stage
 BLOCK_ROWS = 20_000
 MAX_PIVOTS = 1024
 _PAIRS_AT_ONCE = 2_000_000
+_EXACT_AT_ONCE = 50_000
+# Stand-ins for a missing exclusion label; the two sides differ, so such rows exclude no one.
+_NO_POOL_LABEL, _NO_QUERY_LABEL = -(1 << 62), -(1 << 62) + 1
 _SLACK = 1e-6
 
 
@@ -113,13 +116,44 @@ def knn_join(
     """The k nearest pool rows of every query, by Euclidean distance, ties by pool id.
 
     ``group``: only rows of the same group pair. ``exclude``: a bigint label; rows with the query's
-    own label never pair. ``floor``: a double; the distance of a pair is at least the floor of
+    own label never pair, and rows without a label pair with all. ``floor``: a double; the distance of a pair is at least the floor of
     either side. Returns g, qid, qx, pid, px, distance, rank; queries without any partner have no row.
     """
     p = slim(pool, pool_id, vector, group, exclude, floor)
     q = slim(queries, query_id, vector, group, exclude, floor)
-    cells = plan_cells(p, block_rows)
-    return search_cells(assign_cells(q, cells), assign_cells(p, cells), cells, k, exclude is not None, False, block_rows)
+    if exclude:
+        p = p.withColumn("x", F.coalesce("x", F.lit(_NO_POOL_LABEL)))
+        q = q.withColumn("x", F.coalesce("x", F.lit(_NO_QUERY_LABEL)))
+    # Written once: vectors may come from a Python embedder, and both sides are read several times below.
+    p = stage(p, "pool")
+    if p.limit(block_rows + 1).count() <= block_rows:
+        found = _one_block(q, p, k)
+    else:
+        cells = plan_cells(p, block_rows)
+        q = stage(q, "queries")
+        found = search_cells(assign_cells(q, cells), assign_cells(p, cells), cells, k, exclude is not None, False, block_rows)
+    if not exclude:
+        return found
+    return found.withColumn("qx", F.when(F.col("qx") != _NO_QUERY_LABEL, F.col("qx"))).withColumn(
+        "px", F.when(F.col("px") != _NO_POOL_LABEL, F.col("px"))
+    )
+
+
+def _one_block(q: DataFrame, p: DataFrame, k: int) -> DataFrame:
+    """A pool counted to be one block goes to every task; queries are searched where they lie."""
+    pool = q.sparkSession.sparkContext.broadcast(p.toPandas())
+    kernel = _search(k, False)
+    schema = "g string, qid bigint, qx bigint, pid bigint, px bigint, distance double, rank int"
+
+    def search(frames):
+        groups = dict(iter(pool.value.groupby("g", sort=False)))
+        for frame in frames:
+            for g, part in frame.assign(bound=np.inf).groupby("g", sort=False):
+                if g in groups:
+                    found = kernel(part, groups[g])
+                    yield found.assign(rank=found.groupby("qid").cumcount() + 1)
+
+    return q.mapInPandas(search, schema)
 
 
 def search_cells(
@@ -244,11 +278,17 @@ def _visit(pivots: np.ndarray, k: int, per_label: bool):
         lengths = cells["s_r"].map(len).to_numpy()
         owner = np.repeat(np.arange(len(cells)), lengths)
         s_r, s_f = np.concatenate(cells["s_r"].to_numpy()), np.concatenate(cells["s_f"].to_numpy())
-        upper = np.maximum(np.maximum(to_pivot[:, owner] + s_r[None, :], floors[:, None]), s_f[None, :])
-        if queries["x"].notna().any():
-            s_x = np.concatenate(cells["s_x"].to_numpy())
-            upper[queries["x"].to_numpy("int64")[:, None] == s_x[None, :]] = np.inf
-        bound = np.partition(upper, k - 1, axis=1)[:, k - 1] if upper.shape[1] >= k else np.full(len(queries), np.inf)
+        labelled = queries["x"].notna().any()
+        s_x = np.concatenate(cells["s_x"].to_numpy()) if labelled else None
+        bound = np.full(len(queries), np.inf)
+        # Some queries at a time, so that memory follows neither the cells nor the block.
+        step = max(1, _PAIRS_AT_ONCE // max(1, len(s_r)))
+        for lo in range(0, len(queries) if len(s_r) >= k else 0, step):
+            some = slice(lo, lo + step)
+            upper = np.maximum(np.maximum(to_pivot[some][:, owner] + s_r[None, :], floors[some, None]), s_f[None, :])
+            if labelled:
+                upper[queries["x"].iloc[some].to_numpy("int64")[:, None] == s_x[None, :]] = np.inf
+            bound[some] = np.partition(upper, k - 1, axis=1)[:, k - 1]
         bound = np.minimum(bound, queries["limit"].to_numpy(float))
         if per_label:
             bound = pd.Series(bound).groupby(queries["x"].to_numpy()).transform("min").to_numpy()
@@ -306,7 +346,10 @@ def _search(k: int, by_edge: bool):
             if len(i) == 0:
                 continue
             # Distances of the few candidates are recomputed directly, free of cancellation.
-            exact = np.sqrt(((qv[i] - pv[j]) ** 2).sum(axis=1))
+            exact = np.empty(len(i))
+            for lo in range(0, len(i), _EXACT_AT_ONCE):
+                some = slice(lo, lo + _EXACT_AT_ONCE)
+                exact[some] = np.sqrt(((qv[i[some]] - pv[j[some]]) ** 2).sum(axis=1))
             weight = np.maximum(np.maximum(exact, qf[i]), pf[j])
             a, b = qid[i], pid[j]
             order = (

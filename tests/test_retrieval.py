@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from feedloom.operators import retrieval, sampling
+from feedloom.plans import knn
 from feedloom.plans.knn import knn_join
 
 
@@ -69,3 +70,21 @@ def test_user_embedder_runs_in_chunks(spark):
 
     got = retrieval.embed_with(labelled(spark, 10), embed, batch=3).collect()
     assert all(r.embedding == [float(len(r.text)), 1.0] for r in got)
+
+
+def test_rows_without_an_exclusion_label_pair_with_all(spark):
+    rows = [(i, [float(i), 0.0], None if i % 2 else 7) for i in range(12)]
+    df = spark.createDataFrame(rows, "id bigint, embedding array<double>, part bigint")
+    for block in (100, 4):
+        got = {}
+        for r in knn.knn_join(df, df, 2, exclude="part", block_rows=block).collect():
+            got.setdefault(r.qid, []).append((r.rank, r.pid, r.px))
+        # Even rows never see even ones; odd rows have no label and see all, themselves first.
+        assert [p for _, p, _ in sorted(got[4])] == [3, 5] and all(x is None for _, _, x in got[4])
+        assert [p for _, p, _ in sorted(got[5])] == [5, 4]
+
+
+def test_one_block_pool_needs_no_cross_product(spark):
+    df = spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(50)], "id bigint, embedding array<double>")
+    plan = knn.knn_join(df, df, 3)._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoop" not in plan
