@@ -245,7 +245,7 @@ def _headline(spark, sf_dir):
 
 @query(
     "theme_sentiment_breakdown",
-    with_tables("signals") + " select app_id, theme, sentiment, count(*) as n from signals group by rollup (app_id, theme, sentiment)",
+    with_tables("signals") + " select app_id, theme, sentiment, count(*) as n, cast(bit_count(grouping_id(app_id, theme, sentiment)) as int) as level from signals group by rollup (app_id, theme, sentiment)",
 )
 def _breakdown(spark, sf_dir):
     return reporting.theme_sentiment_breakdown(signals(spark, sf_dir))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation
@@ -238,7 +238,7 @@ def last_answers(rows: DataFrame) -> DataFrame:
     ).select("batch_id", "review_index", "_a.*")
 
 
-def classification_rows(scored: DataFrame, prompt_version: str) -> DataFrame:
+def classification_rows(scored: DataFrame, prompt_version: str, keep: Sequence[str] = ()) -> DataFrame:
     """Scored reviews in the stored layout; raw_response is the JSON of the four fields."""
     reasoning = F.col("reasoning") if "reasoning" in scored.columns else F.lit(None).cast("string")
     with_reasoning = scored.withColumn("reasoning", reasoning)
@@ -247,13 +247,20 @@ def classification_rows(scored: DataFrame, prompt_version: str) -> DataFrame:
         F.lit(prompt_version).alias("prompt_version"),
         *FIELDS,
         F.to_json(F.struct(*FIELDS), {"ignoreNullFields": "false"}).alias("raw_response"),
+        *keep,
     )
 
 
-def store_classifications(existing: DataFrame, scored: DataFrame, prompt_version: str) -> DataFrame:
-    """The classifications table after this run, keyed by review and version."""
-    rows = classification_rows(scored, prompt_version)
-    return upsert_replace(existing, rows, ["review_id", "prompt_version"], ["raw_response"])
+def store_classifications(
+    existing: DataFrame, scored: DataFrame, prompt_version: str, sequence: str | None = None
+) -> DataFrame:
+    """The classifications table after this run, keyed by review and version.
+
+    Of several answers to one review the one with the greatest ``sequence`` (a column of ``scored``
+    that tells which came later) is stored; without it, the greatest response.
+    """
+    rows = classification_rows(scored, prompt_version, [sequence] if sequence else [])
+    return upsert_replace(existing, rows, ["review_id", "prompt_version"], [*([sequence] if sequence else []), "raw_response"])
 
 
 def classify_reviews(

@@ -114,7 +114,12 @@ def fill_defaults(df: DataFrame) -> DataFrame:
     for name, kind in optional.items():
         if name not in df.columns:
             df = df.withColumn(name, F.lit(None).cast(kind))
-    return df.withColumn("thumbs_up", F.coalesce(F.col("thumbs_up").cast("int"), F.lit(0)))
+    return df.withColumn("thumbs_up", F.coalesce(whole_number(F.col("thumbs_up")), F.lit(0)))
+
+
+def whole_number(column: Column) -> Column:
+    """An int from a number or its text, ``4.0`` included; null for anything that is no number of an int's size."""
+    return column.try_cast("double").try_cast("int")
 
 
 def positional_id(df: DataFrame, order: Sequence[str]) -> DataFrame:

@@ -38,8 +38,14 @@ def headline_metrics(reviews: DataFrame, pain_points: DataFrame, accuracies: Dat
 
 
 def theme_sentiment_breakdown(classified: DataFrame) -> DataFrame:
-    """Counts per app, theme and sentiment with subtotals; null marks a subtotal level."""
-    return classified.rollup("app_id", "theme", "sentiment").agg(F.count(F.lit(1)).alias("n"))
+    """Counts per app, theme and sentiment with subtotals.
+
+    ``level`` is how many of the columns are summed over (0 to 3), so a null theme and a subtotal
+    over themes stay apart.
+    """
+    return classified.rollup("app_id", "theme", "sentiment").agg(
+        F.count(F.lit(1)).alias("n"), F.bit_count(F.grouping_id()).cast("int").alias("level")
+    )
 
 
 def class_distribution(classified: DataFrame) -> DataFrame:

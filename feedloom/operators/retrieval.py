@@ -123,9 +123,13 @@ def leakage_check(neighbors: DataFrame, folded: DataFrame, key: str = "review_id
     )
 
 
-def store_retrievals(existing: DataFrame, new: DataFrame) -> DataFrame:
-    """The retrieval log after this run: one entry per review and prompt version, the new one wins."""
-    return upsert_replace(existing, new, ["review_id", "prompt_version"], ["examples"])
+def store_retrievals(existing: DataFrame, new: DataFrame, sequence: str | None = None) -> DataFrame:
+    """The retrieval log after this run: one entry per review and prompt version, the new one wins.
+
+    Of several new entries the one with the greatest ``sequence`` (a column of ``new``) is stored.
+    """
+    order = [*([sequence] if sequence else []), "examples"]
+    return upsert_replace(existing, new, ["review_id", "prompt_version"], order)
 
 
 def inspect_retrievals(retrievals: DataFrame, classifications: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ and go on from the files, so a lost executor costs a re-read, not a recomputatio
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -24,7 +26,9 @@ def staging_root(spark: SparkSession) -> str:
         return root
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {_SETTING} to a folder all executors can reach")
+    # One machine is driver and executor here; the folder goes when the process ends.
     root = tempfile.mkdtemp(prefix="feedloom-")
+    atexit.register(shutil.rmtree, root, ignore_errors=True)
     spark.conf.set(_SETTING, root)
     return root
 

@@ -17,6 +17,13 @@ DEFAULTS = {
 }
 
 
+def configure(spark: SparkSession) -> SparkSession:
+    """Apply the settings above to a session that was made elsewhere."""
+    for key, value in DEFAULTS.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def local_session(cpus: str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A local session for tests and the benchmark."""
     builder = (

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from feedloom.operators.cleaning import content_id, fill_defaults, positional_id
+from feedloom.operators.cleaning import content_id, fill_defaults, positional_id, whole_number
 
 # Fields a CSV must map.
 REQUIRED_CSV_FIELDS = ("text", "rating")
@@ -58,7 +60,7 @@ def map_rows(
     rows = fill_defaults(rows)
     if not had_id:
         rows = positional_id(rows, order) if id_mode == "position" else content_id(rows)
-    return rows.withColumn("rating", F.col("rating").try_cast("int")).withColumn("source", F.lit("csv"))
+    return rows.withColumn("rating", whole_number(F.col("rating"))).withColumn("source", F.lit("csv"))
 
 
 def read_dump(spark: SparkSession, path: str, app_id: str, app_name: str) -> DataFrame:
@@ -66,9 +68,10 @@ def read_dump(spark: SparkSession, path: str, app_id: str, app_name: str) -> Dat
     return normalize_dump(spark.read.schema(DUMP_SCHEMA).json(path), app_id, app_name)
 
 
-def normalize_dump(raw: DataFrame, app_id: str, app_name: str) -> DataFrame:
-    """Scraped field names to ours; absent thumbs become 0 and absent text becomes empty."""
+def normalize_dump(raw: DataFrame, app_id: str, app_name: str, keep: Sequence[str] = ()) -> DataFrame:
+    """Scraped field names to ours, and ``keep`` as it is; absent thumbs become 0 and absent text becomes empty."""
     return raw.select(
+        *keep,
         F.lit(app_id).alias("app_id"),
         F.lit(app_name).alias("app_name"),
         F.col("reviewId").alias("review_id"),

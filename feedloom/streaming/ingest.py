@@ -42,16 +42,25 @@ def ingest_stream(
 ) -> StreamingQuery:
     """Process every dump file not seen before, then stop; run it again for later files.
 
-    ``clean`` is applied to each micro-batch, whose input order is the column ``_row``; without it
-    texts and dates are only normalised.
+    ``clean`` is applied to each micro-batch, whose input order is the column ``_row``: older files
+    first, then by path and place in the file. Without it texts and dates are only normalised.
     """
     source = spark.readStream.schema(DUMP_SCHEMA)
     if max_files is not None:
         source = source.option("maxFilesPerTrigger", max_files)
-    raw = normalize_dump(source.json(dump_path), app_id, app_name)
+    read = source.json(dump_path)
+    placed = F.struct(
+        F.col("_metadata.file_modification_time").alias("time"),
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("start"),
+    )
+    raw = normalize_dump(read.withColumn("_place", placed), app_id, app_name, ["_place"])
 
     def store(batch: DataFrame, _: int) -> None:
-        ordered = batch.withColumn("_row", F.monotonically_increasing_id())
+        # Row numbers grow within a block; between blocks the file decides, however Spark packs its tasks.
+        ordered = batch.withColumn(
+            "_row", F.struct("_place.time", "_place.file", "_place.start", F.monotonically_increasing_id().alias("row"))
+        ).drop("_place")
         append_new((clean or normalize_only)(ordered), table_path)
 
     return (
