@@ -122,9 +122,8 @@ for _version in ("v1", "v2", "v3"):
     _prompt(_version)
 
 
-# A lexicon from the given texts: the 60 most frequent words, themes and weights dealt by frequency rank.
-LEXICON = f"""freq as (select w as term, count(*) as n from (select unnest({words('text')}) as w from documents) as t group by w),
-top as (select term, row_number() over (order by n desc, term) - 1 as r from freq qualify row_number() over (order by n desc, term) <= 60),
+# A lexicon of all words of the given texts, themes and weights dealt by hash.
+LEXICON = f"""top as (select w as term, cast('0x' || substr(md5(w), 1, 8) as bigint) as r from (select distinct unnest({words('text')}) as w from documents) as t),
 lexicon as (select term, {THEME_LIST}[1 + r % 10] as theme, 1 + r % 3 as weight, r % 3 - 1 as polarity, r % 2 as severity from top)"""
 
 SCORED = CLEANED + ", " + LEXICON + f""", tok as (select id, unnest({words('cleaned_text')}) as term from cleaned),
@@ -139,16 +138,10 @@ scored as (select c.id, coalesce(b.theme, 'Other') as theme,
 
 
 def lexicon(spark, sf_dir):
-    counts = (
-        documents(spark, sf_dir)
-        .select(F.explode(tokens(F.col("text"))).alias("term"))
-        .groupBy("term")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    top = counts.orderBy(F.col("n").desc(), "term").limit(60)
-    ranked = top.withColumn("r", F.row_number().over(Window.orderBy(F.col("n").desc(), "term")) - 1)
-    # Sixty rows, written once: a query reads them more than once.
-    rows = ranked.select(
+    terms = documents(spark, sf_dir).select(F.explode(tokens(F.col("text"))).alias("term")).distinct()
+    dealt = terms.withColumn("r", F.conv(F.substring(F.md5("term"), 1, 8), 16, 10).cast("long"))
+    # Written once: a query reads them more than once.
+    rows = dealt.select(
         "term",
         F.element_at(F.array(*[F.lit(t) for t in THEME_NAMES]), (F.col("r") % 10 + 1).cast("int")).alias("theme"),
         (F.col("r") % 3 + 1).alias("weight"),

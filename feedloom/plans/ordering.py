@@ -94,15 +94,18 @@ def seeded_position(
     seed: int = 42,
     limit: int | Column | None = None,
     name: str = "position",
-    digits: int = 3,
+    bucket_rows: int = 50_000,
 ) -> DataFrame:
     """1-based position of each row in the seeded shuffle of its group.
 
-    The hash is uniform, so its first ``digits`` hex digits cut every group, hot or not, into
-    16**digits even buckets; bucket counts give the offset and only a bucket is sorted in one
-    task. With ``limit`` (a number or an expression on the group columns and ``_size``), buckets
+    The hash is uniform, so its first hex digits cut every group, hot or not, into even buckets;
+    as many digits are used as keep a bucket of the whole table below ``bucket_rows``. Bucket counts
+    give the offset and only a bucket is sorted in one task. With ``limit`` (a number or an expression on the group columns and ``_size``), buckets
     that start past it are dropped before the rows are shuffled, and the answer stays exact.
     """
+    rows, digits = df.count(), 1
+    while rows > bucket_rows * 16**digits:
+        digits += 1
     hashed = df.withColumn("_h", seeded_hash(seed, *ids)).withColumn("_b", F.substring("_h", 1, digits))
     counts = hashed.groupBy(*groups, "_b").agg(F.count(F.lit(1)).alias("_rows"))
     by_group = Window.partitionBy(*groups)
