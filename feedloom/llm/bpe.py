@@ -21,9 +21,11 @@ from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # How byte-level tokenizers cut a text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -31,8 +33,10 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 _PEEK = 3
 WINDOW = 1 << 16
 # Entries of each memo of a worker, and the longest text an entry is kept for.
-MEMO = 300_000
+MEMO = 120_000
 MEMO_CHARS = 64
+# Rows that a task encodes before it hands them on.
+ROWS_AT_ONCE = 128
 
 
 def byte_symbols() -> dict[str, int]:
@@ -330,20 +334,37 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
 
 
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, source, n_tokens, token_ids, decoded_sha256 of every row."""
+    """doc_id, source, n_tokens, token_ids, decoded_sha256 of every row, a few rows in memory at a time."""
     content = _file(docs.sparkSession, path)
-
-    @F.pandas_udf("n_tokens long, token_ids array<int>, decoded_sha256 string")
-    def both_ways(texts: pd.Series) -> pd.DataFrame:
-        coder, rows = encoder(content.value), []
-        for text in texts:
-            ids: list[int] = []
-            coder.encode(text or "", ids.extend)
-            decoder, sha = Decoder(coder.v), hashlib.sha256()
-            for at in range(0, len(ids), 50_000):
-                sha.update(decoder.feed(ids[at : at + 50_000]).encode())
-            sha.update(decoder.finish().encode())
-            rows.append((len(ids), np.array(ids, dtype="int32"), sha.hexdigest()))
-        return pd.DataFrame(rows, columns=["n_tokens", "token_ids", "decoded_sha256"])
-
-    return docs.select("doc_id", "source", both_ways("text").alias("r")).select("doc_id", "source", "r.*")
+    kept = docs.select("doc_id", "source", "text")
+    schema = T.StructType(
+        [
+            *kept.schema.fields[:2],
+            T.StructField("n_tokens", T.LongType()),
+            T.StructField("token_ids", T.ArrayType(T.IntegerType())),
+            T.StructField("decoded_sha256", T.StringType()),
+        ]
+    )
+
+    def both_ways(batches):
+        coder = encoder(content.value)
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(at, ROWS_AT_ONCE)
+                counts, flat, digests = [], [], []
+                for text in part.column("text").to_pylist():
+                    ids: list[int] = []
+                    coder.encode(text or "", ids.extend)
+                    decoder, sha = Decoder(coder.v), hashlib.sha256()
+                    for start in range(0, len(ids), 50_000):
+                        sha.update(decoder.feed(ids[start : start + 50_000]).encode())
+                    sha.update(decoder.finish().encode())
+                    counts.append(len(ids))
+                    flat.append(np.array(ids, dtype="int32"))
+                    digests.append(sha.hexdigest())
+                offsets = np.concatenate([[0], np.cumsum(counts)]).astype("int32")
+                tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(flat)))
+                columns = [part.column(0), part.column(1), pa.array(counts, pa.int64()), tokens, pa.array(digests, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, schema.names)
+
+    return kept.mapInArrow(both_ways, schema)
