@@ -42,8 +42,8 @@ from feedloom.plans.staging import stage
 # Bytes of a repeat and of an anchor gram; the odd base of the rolling hash.
 WIDTH, GRAM = 100, 32
 _BASE = 0x9E3779B97F4A7C15
-_PIECE = 1 << 21
-_RUN_LINES = 100_000
+_PIECE = 1 << 20
+_RUN_LINES = 50_000
 _PLACE = "<qq"
 
 
@@ -406,7 +406,7 @@ def _combine(width: int, crowd: int):
     return rows
 
 
-def repeated_bytes(docs: DataFrame, width: int = WIDTH, part_bytes: int = 4 << 20, crowd: int = 20_000) -> DataFrame:
+def repeated_bytes(docs: DataFrame, width: int = WIDTH, part_bytes: int = 4 << 20, crowd: int = 5_000) -> DataFrame:
     """(doc_id, out): begin and end of the maximal removed stretches of each document, in turn."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
     anchors = texts.mapInArrow(_anchor_rows(width), "g long, doc_id long, at long")
