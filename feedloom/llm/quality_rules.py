@@ -194,5 +194,7 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with its columns; rows without a doc_id stay."""
-    bad = quality_rules(docs).filter(~F.col("kept")).select("doc_id").distinct()
+    # Written first: a filter on the verdict would compute the distances anew for every use.
+    verdicts = stage(quality_rules(docs).select("doc_id", "kept"), "verdicts")
+    bad = verdicts.filter(~F.col("kept")).select("doc_id").distinct()
     return docs.join(sized(stage(bad, "rejected")), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
