@@ -5,8 +5,8 @@ credential characters that no pattern has found is scored by two first-order Mar
 characters, one of random strings and one of ordinary identifiers; a run whose log-likelihood ratio
 favours the random model by a margin, in total and per character, is reported too.
 
-The models are trained from labelled samples: letter-only words of the corpus are the ordinary
-class, values that the patterns mark as secrets and digests of the ordinary words the random class;
+The models are trained from labelled samples: letter-only words of the corpus, as written and in capitals,
+are the ordinary class, values that the patterns mark as secrets and digests of the ordinary words the random class;
 the samples are bounded by a documented parameter. Everything runs on built-in functions.
 
 Edge cases: a null text counts as empty; without samples of either class the smoothed models are
@@ -30,7 +30,7 @@ KINDS = ("assign", "access", "hex", "markov")
 ACCESS, HEX = r"AKIA[A-Z0-9]{14,}", r"[0-9a-f]{16,}"
 MIN_VALUE = 12
 # What a scored run is, and what the models must agree on.
-RUN = r"[A-Za-z0-9+/_=-]{16,}"
+RUN = r"[A-Za-z0-9+/_=-]{12,}"
 SYMBOLS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 SAMPLE = 20_000
 BACK_OFF = 20.0
@@ -129,14 +129,16 @@ def samples_of(scanned: DataFrame, limit: int = SAMPLE) -> DataFrame:
         .filter(F.length("value") >= 16)
     )
     words = scanned.select(F.explode("runs").alias("value"))
-    words = words.filter(F.col("value").rlike("^[A-Z]?[a-z]+$|^[A-Z]+$"))
+    words = words.filter(F.col("value").rlike("^[A-Z]?[a-z]+$"))
     # Equal values count once, and the draw is by hash, so no document and no copy decides it.
     draw = lambda df: df.select("value").distinct().orderBy(id_hash(7, "value"), "value").limit(limit)
     ordinary = stage(draw(words), "ordinary-words")
     # Digests of the same words in base 64 are random by construction; the patterns alone know mostly hex.
     digests = ordinary.select(F.base64(F.unhex(F.sha2("value", 256))).alias("value"))
     random = draw(secrets).union(digests)
-    return random.withColumn("random", F.lit(True)).union(ordinary.withColumn("random", F.lit(False)))
+    # Each word counts in capitals too. Runs of capitals are no samples: where they are rare, random ones would be their own model.
+    words = ordinary.union(ordinary.select(F.upper("value")))
+    return random.withColumn("random", F.lit(True)).union(words.withColumn("random", F.lit(False)))
 
 
 def scan(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -156,7 +158,6 @@ def scan(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
         )
         return F.aggregate(codes, start, step)["sum"]
 
-    mixed = lambda v: v.rlike("[0-9]") & v.rlike("[A-Za-z]")
     margin = lambda v: F.greatest(F.lit(MIN_TOTAL), MIN_PER_CHARACTER * F.length(v))
     kind = KINDS.index("markov")
     none = F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")
@@ -167,7 +168,7 @@ def scan(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
         lambda a, s: F.struct(
             (a["at"] + s["g"] + F.length(s["v"])).alias("at"),
             F.when(
-                mixed(s["v"]) & (ratio(s["v"]) >= margin(s["v"])),
+                ratio(s["v"]) >= margin(s["v"]),
                 F.concat(
                     a["out"],
                     F.array(

@@ -74,3 +74,15 @@ def test_odd_texts_and_added_spans(spark):
 def test_models_without_samples_add_nothing(spark):
     docs = spark.createDataFrame([(1, "Zk3v9QwLr7Tb2XcP5nHs alone")], "doc_id long, text string")
     assert secrets.scan(docs).first().spans == []
+
+
+def test_models_decide_on_every_run(spark):
+    rng = random.Random(11)
+    parts = ["tion", "er", "ou", "ing", "and", "ble", "here", "son", "ly", "ea"]
+    word = " ".join("".join(rng.choice(parts) for _ in range(rng.randint(4, 9))) for _ in range(600))
+    mixed = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    draw = lambda symbols, n: "".join(rng.choice(symbols) for _ in range(n))
+    runs = [draw(mixed, 24), draw(mixed[:26], 32), draw("0123456789", 15), draw(mixed + "0123456789", 13)]
+    docs = spark.createDataFrame([(i, f"{word} {run} {word}") for i, run in enumerate(runs)] + [(9, word)], "doc_id long, text string")
+    got = {r.doc_id: [s.value for s in r.spans] for r in secrets.scan(docs).collect()}
+    assert got == {**{i: [run] for i, run in enumerate(runs)}, 9: []}
