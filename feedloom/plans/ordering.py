@@ -52,13 +52,15 @@ def grouped_running(
     order: Sequence[Column],
     sums: dict[str, Column] | None = None,
     maxima: dict[str, Column] | None = None,
+    xors: dict[str, Column] | None = None,
 ) -> DataFrame:
-    """Add inclusive running sums and maxima per group, in a total order."""
-    sums, maxima = sums or {}, maxima or {}
+    """Add inclusive running sums, maxima and exclusive ors per group, in a total order."""
+    sums, maxima, xors = sums or {}, maxima or {}, xors or {}
     laid_out = _blocks(df, groups, order)
     totals = laid_out.groupBy(*groups, "_blk").agg(
         *[F.sum(e).alias(f"_t_{n}") for n, e in sums.items()],
         *[F.max(e).alias(f"_t_{n}") for n, e in maxima.items()],
+        *[F.bit_xor(e).alias(f"_t_{n}") for n, e in xors.items()],
     )
     earlier = Window.partitionBy(*groups).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     before = totals.select(
@@ -66,12 +68,14 @@ def grouped_running(
         "_blk",
         *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_b_{n}") for n in sums],
         *[F.max(f"_t_{n}").over(earlier).alias(f"_b_{n}") for n in maxima],
+        *[F.coalesce(F.bit_xor(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_b_{n}") for n in xors],
     )
     here = Window.partitionBy(*groups, "_blk").orderBy("_idx").rowsBetween(Window.unboundedPreceding, 0)
     return _rejoin(laid_out, before, groups).select(
         *[F.col(c) for c in df.columns],
         *[(F.sum(e).over(here) + F.col(f"_b_{n}")).alias(n) for n, e in sums.items()],
         *[F.greatest(F.max(e).over(here), F.col(f"_b_{n}")).alias(n) for n, e in maxima.items()],
+        *[F.bit_xor(e).over(here).bitwiseXOR(F.col(f"_b_{n}")).alias(n) for n, e in xors.items()],
     )
 
 
