@@ -24,7 +24,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 def load() -> tuple[dict[str, Query], dict[str, str]]:
     """Import the query modules and the pipeline; return the filled registries."""
     import corpus_pipeline
-    from feedloom.llm import duplicate_queries, order_queries, text_queries, vector_queries  # noqa: F401
+    from feedloom.llm import duplicate_queries, order_queries, record_queries, text_queries, vector_queries  # noqa: F401
 
     QUERIES["pipeline"] = corpus_pipeline.run
 
