@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from feedloom.llm import ranking, secrets
 from feedloom.llm.bpe import round_trip
 from feedloom.llm.common import table
+from feedloom.llm.phrases import collocations
 from feedloom.llm.quality_rules import quality_rules
 from feedloom.llm.registry import query
 
@@ -103,3 +104,39 @@ def op7_markov_secrets(spark, sf_dir):
         F.sha2(secrets.listed("base"), 256).alias("base_sha256"),
         secrets.listed("spans").alias("spans"),
     )
+
+
+PHRASES_SQL = r"""
+with pieces as (
+  select coalesce(lang, 'und') as lang,
+         unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as p
+  from documents),
+worded as (select lang, regexp_extract_all(p, '[^\x20\x09]+') as words from pieces),
+totals as (select lang, sum(len(words)) as n from worded group by lang),
+starts as (select lang, words, unnest(range(1, len(words) + 1)) as i from worded),
+grams as (select lang, words[i : i + k - 1] as g from starts, (select unnest([1, 2, 3, 4, 5]) as k) where i + k - 1 <= len(words)),
+counts as (select lang, g, count(*) as f from grams group by lang, g),
+candidates as (select lang, g, f as a from counts where len(g) > 1 and f >= 100),
+longer as (
+  select distinct c.lang, c.g[i : j] as g, c.a
+  from candidates c, (select unnest(range(1, 6)) as i) x, (select unnest(range(1, 6)) as j) y
+  where j > i and j <= len(c.g) and j - i + 1 < len(c.g)),
+kept as (
+  select c.* from candidates c
+  where not exists (select 1 from longer b where b.lang = c.lang and b.g = c.g and 100 * b.a >= 100 * c.a)),
+cuts as (
+  select c.lang, c.g, c.a, k, l.f as l, r.f as r, t.n,
+         (1000::hugeint * c.a * t.n) // (l.f::hugeint * r.f) as score
+  from kept c join (select unnest([1, 2, 3, 4]) as k) on k < len(c.g)
+       join counts l on l.lang = c.lang and l.g = c.g[1 : k]
+       join counts r on r.lang = c.lang and r.g = c.g[k + 1 : len(c.g)]
+       join totals t on t.lang = c.lang),
+scored as (select *, array_to_string(g, ' ') as phrase from cuts qualify row_number() over (partition by lang, g order by score, k) = 1),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from scored)
+select lang, rank, phrase, a, l, r, cast(n as bigint) as n, cast(score as bigint) as score from ranked where rank <= 2000"""
+
+
+@query("op12_phrase_collocations", PHRASES_SQL)
+def op12_phrase_collocations(spark, sf_dir):
+    """The phrases of each language whose words stick together most."""
+    return collocations(table(spark, sf_dir, "documents"))
