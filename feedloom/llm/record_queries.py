@@ -5,6 +5,7 @@ from __future__ import annotations
 from feedloom.llm.common import table
 from feedloom.llm.registry import query
 from feedloom.llm.trie import conversation_trie
+from feedloom.llm.warc import read_archive, write_archive
 
 TRIE_SQL = r"""
 with t as (
@@ -49,3 +50,19 @@ from shape n join sums s on s.depth = n.depth and s.k = n.k
 def op11_conversation_trie(spark, sf_dir):
     """Every node of the trie of conversations that share the heads of their families."""
     return conversation_trie(table(spark, sf_dir, "conversations"), shared_heads=True)
+
+
+WARC_SQL = r"""
+with p as (select page_id, coalesce(html, '') as html, octet_length(encode(coalesce(html, ''))) as n, sha256(coalesce(html, '')) as d from pages),
+first as (select d, min(page_id) as page_id from p where n >= 100 group by d)
+select p.page_id, cast(p.n as bigint) as payload_bytes, p.d as payload_digest,
+       case when f.page_id is null or f.page_id is not distinct from p.page_id then 'response' else 'revisit' end as record_type,
+       case when f.page_id is distinct from p.page_id then f.page_id end as refers_to
+from p left join first f on f.d = p.d"""
+
+
+@query("op13_warc_capture_index", WARC_SQL)
+def op13_warc_capture_index(spark, sf_dir):
+    """Every page written as a WARC record and read back through the capture index."""
+    records = read_archive(write_archive(table(spark, sf_dir, "pages")))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -49,7 +49,7 @@ def test_odd_and_empty_tables(spark, tmp_path):
 def test_registered():
     queries, oracles = load()
     assert queries["pipeline"] is corpus_pipeline.run
-    assert {k.split("_")[0] for k in queries} == {f"op{n}" for n in range(1, 11)} | {"pipeline"}
+    assert {k.split("_")[0] for k in queries} == {f"op{n}" for n in range(1, 14)} | {"pipeline"}
     assert set(oracles) <= set(queries) and "pipeline" not in oracles
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "near_dedup", "mixing", "encoding"]
     assert simhash.MAX_BITS == 4
