@@ -1,10 +1,11 @@
 """Byte-level BPE as a bounded-lookahead streaming transducer, and the way back.
 
-The text goes through in windows. A pre-token that is complete in its window is merged at once; one
-that outgrows the window is encoded while it streams: a token is emitted as soon as its end lies at
-least the merge list's sufficient lookahead before the bytes seen so far, because no later byte can
-change it. What is kept is bounded by the window and the lookahead, never by the text. Ids go
-straight into the caller's sink; decoding turns tokens to bytes and bytes to text incrementally,
+The text goes through in windows, the pre-tokens through a transducer that takes their bytes as they come and emits a
+token as soon as its end lies at least the merge list's sufficient lookahead before the bytes seen so far, because no
+later byte can change it. A pre-token that is open at the end of a window stays open in the transducer: what is kept is
+bounded by the window and the lookahead, never by the text. Pre-tokens that end inside the window are the same
+transduction with nothing to come; the outcome of short ones is remembered, together with the decimals and the bytes of
+their tokens. Ids go straight into the caller's sink; decoding turns tokens to bytes and bytes to text incrementally,
 holding back at most an unfinished character.
 
 Edge cases: a null text counts as empty and has no ids; the strings of special tokens in a text
@@ -18,6 +19,8 @@ import hashlib
 import json
 import re
 from heapq import heapify, heappop, heappush
+from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -29,12 +32,14 @@ from pyspark.sql import types as T
 
 # How byte-level tokenizers cut a text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-# The longest text a match looks past its end ("'re", "'ve", "'ll" and the character after a space).
-_PEEK = 3
 WINDOW = 1 << 16
-# Entries of each memo of a worker, and the longest text an entry is kept for.
-MEMO = 120_000
-MEMO_CHARS = 64
+# Entries of each half of a worker's memo.
+MEMO = 250_000
+# Pieces up to so many bytes are merged side by side; bits of a rank table, and the factor of its hash.
+SHORT = 64
+_TABLE_BITS, _ODD = 20, 0x9E3779B97F4A7C15
+# Characters of texts whose new words are merged side by side.
+AHEAD = 1 << 20
 # Rows that a task encodes before it hands them on.
 ROWS_AT_ONCE = 128
 
@@ -104,6 +109,59 @@ class Vocabulary:
                 ranks[i] = rank_of((ids[i], ids[i + 1]), never)
         return ids
 
+    def _rank_tables(self) -> None:
+        """Ranks of pairs for whole arrays: a hash table, and a second one for the pairs that collide in the first."""
+        pairs = np.array(list(self.ranks), "uint64").reshape(-1, 2)
+        keys = pairs[:, 0] << np.uint64(32) | pairs[:, 1]
+        self.tables, left = [], np.arange(len(keys))
+        for _ in range(64):
+            if not len(left):
+                break
+            factor = np.uint64(_ODD * (2 * len(self.tables) + 1) & (1 << 64) - 1)
+            at = (keys[left] * factor) >> np.uint64(64 - _TABLE_BITS)
+            held, rank = np.full(1 << _TABLE_BITS, (1 << 64) - 1, "uint64"), np.zeros(1 << _TABLE_BITS, "int32")
+            held[at], rank[at] = keys[left], left
+            self.tables.append((factor, held, rank))
+            left = left[held[at] != keys[left]]
+        self.byte_ids, self.made_ids = np.array(self.byte_id, "uint64"), np.array([*self.made_by, 0], "uint64")
+
+    def _ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        keys, never = left << np.uint64(32) | right, len(self.made_by)
+        out = np.full(len(keys), never, "int32")
+        for factor, held, rank in self.tables:
+            at = (keys * factor) >> np.uint64(64 - _TABLE_BITS)
+            hit = held[at] == keys
+            out[hit] = rank[at[hit]]
+        return out
+
+    def merge_many(self, pieces: list[bytes]) -> list[list[int]]:
+        """The tokens of each of many short pieces, all merged side by side: a round makes the next merge of every piece."""
+        if not hasattr(self, "tables"):
+            self._rank_tables()
+        sizes, never = np.array([len(p) for p in pieces], "int64"), len(self.made_by)
+        ids = self.byte_ids[np.frombuffer(b"".join(pieces), "uint8")]
+        owner = np.repeat(np.arange(len(pieces)), sizes)
+        done_ids, done_owner = [], []
+        while len(ids):
+            rank = np.full(len(ids), never, "int32")
+            inside = np.flatnonzero(owner[:-1] == owner[1:])
+            rank[inside] = self._ranks_of(ids[inside], ids[inside + 1])
+            first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+            best = np.repeat(np.minimum.reduceat(rank, first), np.diff(np.append(first, len(ids))))
+            open_ = best < never
+            done_ids.append(ids[~open_])
+            done_owner.append(owner[~open_])
+            at = np.flatnonzero(open_ & (rank == best))
+            at = at[np.append(True, owner[at][1:] != owner[at][:-1])[: len(at)]]
+            ids[at] = self.made_ids[rank[at]]
+            open_[at + 1] = False
+            ids, owner = ids[open_], owner[open_]
+        ids, owner = np.concatenate(done_ids), np.concatenate(done_owner)
+        order = np.argsort(owner, kind="stable")
+        ends = np.cumsum(np.bincount(owner, minlength=len(pieces))).tolist()
+        flat = ids[order].tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
     def _merge_long(self, ids: list[int]) -> list[int]:
         """The same by a queue of pairs over a linked list, for long pieces."""
         ranks, n = self.ranks, len(ids)
@@ -126,109 +184,189 @@ class Vocabulary:
         return [t for t in ids if t >= 0]
 
 
+class Piece(NamedTuple):
+    """Tokens in a row: how many, their ids as decimals joined by commas, their bytes, and the ids themselves."""
+
+    n: int
+    decimals: str
+    data: bytes
+    ids: list[int]
+
+
+class _Memo(dict):
+    """Text -> Piece in two halves; the older half is dropped when the newer one is full, so frequent texts stay."""
+
+    def __init__(self, size: int):
+        super().__init__()
+        self.size, self.older = size, {}
+
+    def unknown(self, texts: set[str]) -> set[str]:
+        """Those that are not remembered; the others are in the newer half afterwards and outlive the next ``keep``."""
+        missing, older = [t for t in texts if t not in self], self.older
+        self.update((t, older[t]) for t in missing if t in older)
+        return {t for t in missing if t not in older}
+
+    def keep(self, found: dict[str, Piece]) -> None:
+        if len(self) + len(found) > self.size:
+            self.older = dict(self)
+            self.clear()
+        self.update(found)
+
+    def __missing__(self, text: str) -> Piece:
+        found = self[text] = self.older[text]
+        return found
+
+
+def _joined(parts: list[Piece]) -> Piece:
+    if len(parts) == 2:
+        a, b = parts
+        return Piece(a[0] + b[0], f"{a[1]},{b[1]}", a[2] + b[2], a[3] + b[3])
+    counts, decimals, data, ids = zip(*parts, strict=True)
+    return Piece(sum(counts), ",".join(decimals), b"".join(data), list(chain(*ids)))
+
+
+class Transducer:
+    """Bytes of one pre-token in, stable tokens out; holds no more than a step and the lookahead."""
+
+    def __init__(self, vocabulary: Vocabulary, sink, step: int = WINDOW):
+        self.v, self.sink, self.step, self.held = vocabulary, sink, max(step, 2 * vocabulary.lookahead), b""
+
+    def feed(self, data: bytes) -> None:
+        for start in range(0, len(data), self.step):
+            self.held += data[start : start + self.step]
+            self._settle()
+
+    def _settle(self) -> None:
+        tokens, end, stable, keep = self.v.merge(self.held), 0, 0, 0
+        for n, token in enumerate(tokens):
+            end += len(self.v.bytes_of[token])
+            if end > len(self.held) - self.v.lookahead:
+                break
+            stable, keep = n + 1, end
+        if stable:
+            self.sink(tokens[:stable])
+            self.held = self.held[keep:]
+
+    def finish(self) -> None:
+        if self.held:
+            self.sink(self.v.merge(self.held))
+            self.held = b""
+
+
 class Encoder:
-    """Streams one text at a time; ``sink`` is called with lists of stable ids."""
+    """Streams one text at a time, a window of characters in hand."""
 
     def __init__(self, vocabulary: Vocabulary, window: int = WINDOW):
         self.v = vocabulary
         self.window = window
-        self.memo: dict[str, list[int]] = {}
-        self.chunks: dict[str, list[int]] = {}
+        # Stretches from a blank to the next, which are one pre-token or a few; and those pre-tokens that are parts of some.
+        self.chunks, self.parts = _Memo(MEMO), _Memo(MEMO // 4)
         self.split = re.compile(r" (?=\S)").split
-        self.find = regex.compile(PATTERN).findall
-        self.first = regex.compile(PATTERN).match
+        pattern = regex.compile(PATTERN)
+        self.find, self.each = pattern.findall, pattern.finditer
         longest_first = sorted(vocabulary.special, key=len, reverse=True)
-        self.special = regex.compile("|".join(map(regex.escape, longest_first)) or r"(?!)")
-        self.held_special = max(map(len, longest_first), default=1) - 1
-
-    def ids(self, piece: str) -> list[int]:
-        found = self.memo.get(piece)
-        if found is None:
-            found = self.v.merge(piece.encode())
-            if len(piece) < MEMO_CHARS:
-                if len(self.memo) >= MEMO:
-                    self.memo.clear()
-                self.memo[piece] = found
-        return found
+        self.special = regex.compile("|".join(map(regex.escape, longest_first)) or r"(?!)").finditer
 
-    def encode(self, text: str, sink) -> None:
-        """Emit the ids of ``text``, a window at a time."""
-        at, rest = 0, ""
-        while at < len(text) or rest:
-            rest += text[at : at + self.window]
-            at += self.window
-            final = at >= len(text)
-            # Cut at special tokens; their strings may straddle the window, so hold back one length.
-            while found := self.special.search(rest):
-                self._plain(rest[: found.start()], sink)
-                sink([self.v.special[found.group()]])
-                rest = rest[found.end() :]
-            if final:
-                self._plain(rest, sink)
-                return
-            rest = self._stable(rest, self.held_special, sink)
+    def piece(self, ids: list[int]) -> Piece:
+        return Piece(len(ids), ",".join([self.v.decimal[i] for i in ids]), b"".join([self.v.bytes_of[i] for i in ids]), list(ids))
 
-    def _plain(self, text: str, sink) -> None:
-        """A stretch that is known to end here."""
-        # A pre-token starts at every single space before a character that is no white space.
-        first, *spaced = self.split(text)
-        out: list[int] = []
-        self._pieces(first, out, sink)
-        memo = self.chunks
-        for chunk in spaced:
-            try:
-                out += memo[chunk]
-            except KeyError:
-                found: list[int] = []
-                self._pieces(" " + chunk, out if len(chunk) >= MEMO_CHARS else found, sink)
-                if found:
-                    out += found
-                    if len(memo) >= MEMO:
-                        memo.clear()
-                    memo[chunk] = found
-        sink(out)
-
-    def _pieces(self, text: str, out: list[int], sink) -> None:
-        """Append the ids of a stretch to ``out``; a pre-token beyond the window goes to the sink as it streams."""
-        for piece in self.find(text):
-            if len(piece) <= self.window:
-                out += self.ids(piece)
-            else:
-                sink(out[:])
-                out.clear()
-                out += self._whole(piece, sink)
+    def ahead(self, texts):
+        """The same texts, after what is new in some of them at a time has been merged side by side."""
+        held, size = [], 0
+        for text in texts:
+            held.append(text)
+            size += len(text)
+            if size >= AHEAD:
+                yield from self._prepared(held)
+                held, size = [], 0
+        yield from self._prepared(held)
+
+    def _prepared(self, texts: list[str]) -> list[str]:
+        # A long text comes window by window, with its own look at what is new.
+        chunks = set(chain.from_iterable(self.split(t) for t in texts if len(t) <= self.window))
+        self._learn(self.chunks.unknown(chunks))
+        return texts
+
+    def _learn(self, chunks: set[str]) -> None:
+        """Remember the Pieces of new chunks: of their pre-tokens, the short ones are merged side by side."""
+        cut = {c: [" " + c] if c.isascii() and c.isalpha() else self.find(" " + c) for c in chunks}
+        self._learn_parts({p for parts in cut.values() for p in parts})
+        part = self.parts.__getitem__
+        self.chunks.keep({c: part(ps[0]) if len(ps) == 1 else _joined([part(p) for p in ps]) for c, ps in cut.items()})
+
+    def _learn_parts(self, pretokens: set[str]) -> None:
+        unknown = list(self.parts.unknown(pretokens))
+        data = [p.encode() for p in unknown]
+        short = [n for n, d in enumerate(data) if len(d) <= SHORT]
+        merged = dict(zip(short, self.v.merge_many([data[n] for n in short]), strict=True)) if short else {}
+        found = {}
+        for n, text in enumerate(unknown):
+            # With nothing to come, a pre-token's tokens are all stable.
+            ids = merged[n] if n in merged else self.v.merge(data[n])
+            found[text] = Piece(len(ids), ",".join([self.v.decimal[i] for i in ids]), data[n], ids)
+        # All that is asked for stays until the next call.
+        self.parts.keep(found)
 
-    def _stable(self, text: str, held: int, sink) -> str:
-        """Emit the pre-tokens that no later character can change; return what is left.
+    def encode(self, text: str, sink) -> None:
+        """Call ``sink`` with lists of the ids of ``text``."""
+        self.pieces(text, lambda pieces: sink([i for p in pieces for i in p.ids]))
 
-        A single pre-token that fills the text stays whole here and is streamed by ``_plain``.
-        """
-        limit = len(text) - held - _PEEK
+    def pieces(self, text: str, sink) -> None:
+        """Call ``sink`` with lists of the Pieces of ``text``, a list for a window at most."""
         at = 0
-        while at < limit and (found := self.first(text, at)) and found.end() < limit:
-            sink(self.ids(found.group()) if found.end() - at <= self.window else self._whole(found.group(), sink))
+        for found in self.special(text):
+            self._stretch(text, at, found.start(), sink)
+            sink([self.piece([self.v.special[found.group()]])])
             at = found.end()
-        return text[at:]
-
-    def _whole(self, piece: str, sink) -> list[int]:
-        return self.v.merge(self._long(piece.encode(), sink))
-
-    def _long(self, data: bytes, sink) -> bytes:
-        """Stream a pre-token longer than the window; return its last, still open bytes."""
-        step = max(self.window, 2 * self.v.lookahead)
-        held = b""
-        for start in range(0, len(data), step):
-            held += data[start : start + step]
-            tokens, end, stable = self.v.merge(held), 0, 0
-            for n, token in enumerate(tokens):
-                end += len(self.v.bytes_of[token])
-                if end > len(held) - self.v.lookahead:
-                    break
-                stable, keep = n + 1, end
-            if stable:
-                sink(tokens[:stable])
-                held = held[keep:]
-        return held
+        self._stretch(text, at, len(text), sink)
+
+    def _stretch(self, text: str, at: int, end: int, sink) -> None:
+        """What lies between special tokens."""
+        while end - at > self.window:
+            limit = at + self.window
+            cut = self._blank(text, at, limit)
+            if cut > at:
+                self._plain(text[at:cut], sink)
+                at = cut
+            else:
+                at = self._unbroken(text, at, limit, end, sink)
+        if at < end:
+            self._plain(text[at:end], sink)
+
+    def _blank(self, text: str, at: int, limit: int) -> int:
+        """The last place up to ``limit`` where a blank stands before a character that is none, and so a pre-token starts."""
+        cut = text.rfind(" ", at + 1, limit)
+        while cut > at and text[cut + 1].isspace():
+            cut = text.rfind(" ", at + 1, cut)
+        return cut
+
+    def _plain(self, text: str, sink) -> None:
+        """A stretch that ends where a pre-token ends."""
+        first, *spaced = self.split(text)
+        pieces = [self.piece(self.v.merge(p.encode())) for p in self.find(first)]
+        if unknown := self.chunks.unknown(set(spaced)):
+            self._learn(unknown)
+        pieces += map(self.chunks.__getitem__, spaced)
+        sink(pieces)
+
+    def _unbroken(self, text: str, at: int, limit: int, end: int, sink) -> int:
+        """Pre-tokens of a window without a place to cut, up to the one that crosses ``limit``; returns where it ends."""
+        whole: list[Piece] = []
+        for found in self.each(text, at, end):
+            at, stop = found.span()
+            if stop - at <= self.window:
+                whole.append(self.piece(self.v.merge(text[at:stop].encode())))
+            else:
+                sink(whole)
+                whole = []
+                through = Transducer(self.v, lambda ids: sink([self.piece(ids)]), self.window)
+                for start in range(at, stop, self.window):
+                    through.feed(text[start : min(start + self.window, stop)].encode())
+                through.finish()
+            if stop >= limit:
+                break
+        sink(whole)
+        return stop
 
 
 class Decoder:
@@ -240,7 +378,11 @@ class Decoder:
 
     def feed(self, ids) -> str:
         bytes_of = self.bytes_of
-        return self.state.decode(b"".join([bytes_of[i] for i in ids]))
+        return self.take(b"".join([bytes_of[i] for i in ids]))
+
+    def take(self, data: bytes) -> str:
+        """The text that the bytes of the next tokens complete."""
+        return self.state.decode(data)
 
     def finish(self) -> str:
         return self.state.decode(b"", True)
@@ -261,24 +403,16 @@ def encoder(content: str, window: int = WINDOW) -> Encoder:
 def digest(coder: Encoder, text: str) -> tuple[int, str, str]:
     """Number of ids, sha256 of the ids as decimals joined by commas, sha256 of the decoded text."""
     ids_sha, text_sha, decoder, n = hashlib.sha256(), hashlib.sha256(), Decoder(coder.v), 0
-    pending: list[int] = []
-    decimal = coder.v.decimal
 
-    def settle():
+    def sink(pieces):
         nonlocal n
-        ids_sha.update((("," if n else "") + ",".join([decimal[i] for i in pending])).encode())
-        text_sha.update(decoder.feed(pending).encode())
-        n += len(pending)
-        pending.clear()
-
-    def sink(ids):
-        pending.extend(ids)
-        if len(pending) > 50_000:
-            settle()
-
-    coder.encode(text, sink)
-    if pending:
-        settle()
+        counts, decimals, data, _ = zip(*pieces, strict=True) if pieces else ((), (), (), ())
+        if added := sum(counts):
+            ids_sha.update((("," if n else "") + ",".join(decimals)).encode())
+            text_sha.update(decoder.take(b"".join(data)).encode())
+            n += added
+
+    coder.pieces(text, sink)
     text_sha.update(decoder.finish().encode())
     return n, ids_sha.hexdigest(), text_sha.hexdigest()
 
@@ -296,9 +430,9 @@ def encode_column(spark: SparkSession, path: str, text):
     @F.pandas_udf("array<int>")
     def encode(texts: pd.Series) -> pd.Series:
         coder, out = encoder(content.value), []
-        for text in texts:
+        for text in coder.ahead(text or "" for text in texts):
             ids: list[int] = []
-            coder.encode(text or "", ids.extend)
+            coder.encode(text, ids.extend)
             out.append(ids)
         return pd.Series(out, dtype=object)
 
@@ -327,7 +461,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def both_ways(texts: pd.Series) -> pd.DataFrame:
         coder = encoder(content.value)
-        rows = [digest(coder, text or "") for text in texts]
+        rows = [digest(coder, text) for text in coder.ahead(text or "" for text in texts)]
         return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select("doc_id", both_ways("text").alias("r")).select("doc_id", "r.*")
@@ -352,12 +486,16 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
             for at in range(0, batch.num_rows, ROWS_AT_ONCE):
                 part = batch.slice(at, ROWS_AT_ONCE)
                 counts, flat, digests = [], [], []
-                for text in part.column("text").to_pylist():
+                for text in coder.ahead(text or "" for text in part.column("text").to_pylist()):
                     ids: list[int] = []
-                    coder.encode(text or "", ids.extend)
                     decoder, sha = Decoder(coder.v), hashlib.sha256()
-                    for start in range(0, len(ids), 50_000):
-                        sha.update(decoder.feed(ids[start : start + 50_000]).encode())
+
+                    def sink(pieces):
+                        for p in pieces:
+                            ids.extend(p.ids)  # noqa: B023
+                        sha.update(decoder.take(b"".join([p.data for p in pieces])).encode())  # noqa: B023
+
+                    coder.pieces(text, sink)
                     sha.update(decoder.finish().encode())
                     counts.append(len(ids))
                     flat.append(np.array(ids, dtype="int32"))
