@@ -291,11 +291,14 @@ def collocations(docs: DataFrame, least: int = 100, limit: int = 2_000, **option
     cuts = cuts.withColumn("score", score)
     least_cut = F.min(F.struct("score", "cut", "l", "r")).alias("c")
     scored = cuts.groupBy("words", "a", "lang", "n").agg(least_cut).select("words", "a", "lang", "n", "c.score", "c.l", "c.r")
-    best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"))
-    first = stage(scored.withColumn("place", F.rank().over(best)).filter(F.col("place") <= limit).drop("place"), "phrase-first")
-    spelled = first.select("words", F.posexplode("words").alias("at", "w")).join(sized(named), "w")
-    spelled = spelled.groupBy("words").agg(F.sort_array(F.collect_list(F.struct("at", "word"))).alias("parts"))
-    texts = spelled.select("words", F.array_join(F.col("parts.word"), " ").alias("phrase"))
-    in_order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = first.join(texts, "words").withColumn("rank", F.row_number().over(in_order).cast("long"))
-    return ranked.filter(F.col("rank") <= limit).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    best = scored.withColumn("phrase", F.lit(""))
+    # Very many phrases may tie (all those of a passage that is copied whole), so ties are broken word by word. A word
+    # but the last has its blank behind it, so the order is that of the whole phrases.
+    for k in range(LONGEST + 1):
+        if k:
+            blank = F.when(k < F.size("words"), F.concat("word", F.lit(" "))).otherwise(F.coalesce("word", F.lit("")))
+            spelled = best.withColumn("w", F.get("words", F.lit(k - 1))).join(sized(named.select("w", "word")), "w", "left")
+            best = spelled.withColumn("phrase", F.concat("phrase", blank)).drop("w", "word")
+        in_order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
+        best = stage(best.withColumn("rank", F.rank().over(in_order).cast("long")).filter(F.col("rank") <= limit), "phrase-best")
+    return best.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
