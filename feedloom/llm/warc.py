@@ -40,8 +40,8 @@ from pyspark.sql import functions as F
 from feedloom.llm.common import sized
 from feedloom.plans.staging import stage, staging_root
 
-# The shortest payload that is revisited; lines of an index block; bytes of a file and of one read.
-LEAST_BYTES, BLOCK_LINES, FILE_BYTES, READ_BYTES = 100, 2_000, 1 << 30, 4 << 20
+# The shortest payload that is revisited; lines of an index block; bytes of a file, a read and a task.
+LEAST_BYTES, BLOCK_LINES, FILE_BYTES, READ_BYTES, TASK_BYTES = 100, 2_000, 1 << 30, 4 << 20, 64 << 20
 _URL = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)([^#]*)")
 _PORT = re.compile(r":(?:80|443)?$")
 _UNSAFE = re.compile(r"[\x00-\x20\x7f]")
@@ -260,7 +260,8 @@ def lookup(archive: Archive, keys: DataFrame) -> DataFrame:
     # One row for each task that wrote the index.
     parts = [r.asDict() for r in archive.parts.orderBy("last", "first", "file").collect()]
     routed = keys.select("key").distinct().mapInArrow(_routed(parts), "part struct<file: string, offset: long, length: long>, key string")
-    in_order = routed.repartition("part").sortWithinPartitions("part", "key")
+    # Few narrow rows stand for many blocks to be read, so their number of partitions is given.
+    in_order = routed.repartition(max(1, len(parts)), "part").sortWithinPartitions("part", "key")
     return in_order.mapInArrow(_found(staging_root(spark)), _CAPTURE_ROW)
 
 
@@ -320,9 +321,13 @@ def _records(root: str, read_bytes: int):
 def fetch(captures: DataFrame, read_bytes: int = READ_BYTES) -> DataFrame:
     """The records of the captures: page_id, url, record_type, refers_to, payload (null for a revisit), payload_bytes, payload_digest."""
     order = ["file", "offset"]
-    spans = captures.select("file", "offset", "length").repartitionByRange(*order).sortWithinPartitions(*order)
+    spark = captures.sparkSession
+    spans = stage(captures.select("file", "offset", "length"), "warc-spans")
+    # Narrow rows stand for records to be read: partitions of so many bytes of these, or one a core.
+    tasks = max(spark.sparkContext.defaultParallelism, (spans.agg(F.sum("length")).first()[0] or 0) // TASK_BYTES)
+    spans = spans.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
     schema = "page_id long, url string, record_type string, refers_to long, payload binary, payload_bytes long, payload_digest string"
-    return spans.mapInArrow(_records(staging_root(captures.sparkSession), read_bytes), schema)
+    return spans.mapInArrow(_records(staging_root(spark), read_bytes), schema)
 
 
 def read_archive(archive: Archive) -> DataFrame:
