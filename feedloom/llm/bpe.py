@@ -15,6 +15,7 @@ become those tokens; bytes that are no UTF-8 decode to U+FFFD as the tokenizer l
 from __future__ import annotations
 
 import codecs
+import gc
 import hashlib
 import json
 import re
@@ -33,8 +34,8 @@ from pyspark.sql import types as T
 # How byte-level tokenizers cut a text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 WINDOW = 1 << 16
-# Entries of each half of a worker's memo.
-MEMO = 250_000
+# Marks that are a pre-token of their own behind a word; entries of each half of a worker's memo.
+_MARKS, MEMO = ".,;:!?", 250_000
 # Pieces up to so many bytes are merged side by side; bits of a rank table, and the factor of its hash.
 SHORT = 64
 _TABLE_BITS, _ODD = 20, 0x9E3779B97F4A7C15
@@ -217,10 +218,13 @@ class _Memo(dict):
         return found
 
 
+def _pair(a: Piece, b: Piece) -> Piece:
+    return Piece(a[0] + b[0], f"{a[1]},{b[1]}", a[2] + b[2], a[3] + b[3])
+
+
 def _joined(parts: list[Piece]) -> Piece:
     if len(parts) == 2:
-        a, b = parts
-        return Piece(a[0] + b[0], f"{a[1]},{b[1]}", a[2] + b[2], a[3] + b[3])
+        return _pair(*parts)
     counts, decimals, data, ids = zip(*parts, strict=True)
     return Piece(sum(counts), ",".join(decimals), b"".join(data), list(chain(*ids)))
 
@@ -259,8 +263,9 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary, window: int = WINDOW):
         self.v = vocabulary
         self.window = window
-        # Stretches from a blank to the next, which are one pre-token or a few; and those pre-tokens that are parts of some.
+        # Stretches from a blank to the next, which are one pre-token or a few; and the pre-tokens of unusual ones.
         self.chunks, self.parts = _Memo(MEMO), _Memo(MEMO // 4)
+        self.marks = {m: self.piece(vocabulary.merge(m.encode())) for m in _MARKS}
         self.split = re.compile(r" (?=\S)").split
         pattern = regex.compile(PATTERN)
         self.find, self.each = pattern.findall, pattern.finditer
@@ -268,10 +273,10 @@ class Encoder:
         self.special = regex.compile("|".join(map(regex.escape, longest_first)) or r"(?!)").finditer
 
     def piece(self, ids: list[int]) -> Piece:
-        return Piece(len(ids), ",".join([self.v.decimal[i] for i in ids]), b"".join([self.v.bytes_of[i] for i in ids]), list(ids))
+        return Piece(len(ids), ",".join([self.v.decimal[i] for i in ids]), b"".join([self.v.bytes_of[i] for i in ids]), ids)
 
     def ahead(self, texts):
-        """The same texts, after what is new in some of them at a time has been merged side by side."""
+        """(text, its stretches between blanks or None), after what is new in some texts at a time has been merged side by side."""
         held, size = [], 0
         for text in texts:
             held.append(text)
@@ -281,38 +286,55 @@ class Encoder:
                 held, size = [], 0
         yield from self._prepared(held)
 
-    def _prepared(self, texts: list[str]) -> list[str]:
+    def _prepared(self, texts: list[str]):
         # A long text comes window by window, with its own look at what is new.
-        chunks = set(chain.from_iterable(self.split(t) for t in texts if len(t) <= self.window))
+        cuts = [self.split(t) if len(t) <= self.window else None for t in texts]
+        chunks = set(chain.from_iterable(c[1:] for c in cuts if c))
         self._learn(self.chunks.unknown(chunks))
-        return texts
+        return zip(texts, cuts, strict=True)
 
     def _learn(self, chunks: set[str]) -> None:
-        """Remember the Pieces of new chunks: of their pre-tokens, the short ones are merged side by side."""
-        cut = {c: [" " + c] if c.isascii() and c.isalpha() else self.find(" " + c) for c in chunks}
-        self._learn_parts({p for parts in cut.values() for p in parts})
+        """Remember the Pieces of new chunks, a blank before each: their new pre-tokens are merged side by side.
+
+        Most are a word, or a word and a mark, and need no pattern to be cut.
+        """
+        words, marked, odd = set(), [], {}
+        for c in chunks:
+            if c.isascii() and c.isalpha():
+                words.add(c)
+            elif c[-1] in _MARKS and c[:-1].isascii() and c[:-1].isalpha():
+                marked.append(c)
+            else:
+                odd[c] = self.find(" " + c)
+        words |= self.chunks.unknown({c[:-1] for c in marked})
+        parts = self.parts.unknown({p for found in odd.values() for p in found})
+        texts = [*(" " + w for w in words), *parts]
+        made = [self.piece(ids) for ids in self._merged([t.encode() for t in texts])]
+        found, known = dict(zip(words, made, strict=False)), self.chunks
+        found |= {c: _pair(found.get(c[:-1]) or known[c[:-1]], self.marks[c[-1]]) for c in marked}
+        self.parts.keep(dict(zip(parts, made[len(words) :], strict=True)))
         part = self.parts.__getitem__
-        self.chunks.keep({c: part(ps[0]) if len(ps) == 1 else _joined([part(p) for p in ps]) for c, ps in cut.items()})
-
-    def _learn_parts(self, pretokens: set[str]) -> None:
-        unknown = list(self.parts.unknown(pretokens))
-        data = [p.encode() for p in unknown]
-        short = [n for n, d in enumerate(data) if len(d) <= SHORT]
-        merged = dict(zip(short, self.v.merge_many([data[n] for n in short]), strict=True)) if short else {}
-        found = {}
-        for n, text in enumerate(unknown):
-            # With nothing to come, a pre-token's tokens are all stable.
-            ids = merged[n] if n in merged else self.v.merge(data[n])
-            found[text] = Piece(len(ids), ",".join([self.v.decimal[i] for i in ids]), data[n], ids)
-        # All that is asked for stays until the next call.
-        self.parts.keep(found)
+        found |= {c: part(ps[0]) if len(ps) == 1 else _joined([part(p) for p in ps]) for c, ps in odd.items()}
+        known.keep(found)
+
+    def _merged(self, data: list[bytes]) -> list[list[int]]:
+        """The tokens of pre-tokens that end here: with nothing to come, all are stable."""
+        short = [d for d in data if len(d) <= SHORT]
+        merged = iter(self.v.merge_many(short) if short else ())
+        return [next(merged) if len(d) <= SHORT else self.v.merge(d) for d in data]
 
     def encode(self, text: str, sink) -> None:
         """Call ``sink`` with lists of the ids of ``text``."""
         self.pieces(text, lambda pieces: sink([i for p in pieces for i in p.ids]))
 
-    def pieces(self, text: str, sink) -> None:
-        """Call ``sink`` with lists of the Pieces of ``text``, a list for a window at most."""
+    def pieces(self, text: str, sink, cut: list[str] | None = None) -> None:
+        """Call ``sink`` with lists of the Pieces of ``text``, a list for a window at most.
+
+        ``cut`` is what ``ahead`` gave with the text.
+        """
+        if cut and next(self.special(text), None) is None:
+            sink(self._of(cut))
+            return
         at = 0
         for found in self.special(text):
             self._stretch(text, at, found.start(), sink)
@@ -342,12 +364,16 @@ class Encoder:
 
     def _plain(self, text: str, sink) -> None:
         """A stretch that ends where a pre-token ends."""
-        first, *spaced = self.split(text)
-        pieces = [self.piece(self.v.merge(p.encode())) for p in self.find(first)]
-        if unknown := self.chunks.unknown(set(spaced)):
-            self._learn(unknown)
-        pieces += map(self.chunks.__getitem__, spaced)
-        sink(pieces)
+        sink(self._of(self.split(text)))
+
+    def _of(self, cut: list[str]) -> list[Piece]:
+        """The Pieces of a stretch; no blank stands before its first chunk, and the others are mostly known."""
+        pieces = [self.piece(self.v.merge(p.encode())) for p in self.find(cut[0])]
+        try:
+            return [*pieces, *map(self.chunks.__getitem__, cut[1:])]
+        except KeyError:
+            self._learn(self.chunks.unknown(set(cut[1:])))
+        return [*pieces, *map(self.chunks.__getitem__, cut[1:])]
 
     def _unbroken(self, text: str, at: int, limit: int, end: int, sink) -> int:
         """Pre-tokens of a window without a place to cut, up to the one that crosses ``limit``; returns where it ends."""
@@ -397,22 +423,25 @@ def encoder(content: str, window: int = WINDOW) -> Encoder:
     if key not in _LOADED:
         _LOADED.clear()
         _LOADED[key] = Encoder(Vocabulary(content), window)
+        # The tables hold no cycles and stay: the collector need not walk them.
+        gc.collect()
+        gc.freeze()
     return _LOADED[key]
 
 
-def digest(coder: Encoder, text: str) -> tuple[int, str, str]:
+def digest(coder: Encoder, text: str, cut: list[str] | None = None) -> tuple[int, str, str]:
     """Number of ids, sha256 of the ids as decimals joined by commas, sha256 of the decoded text."""
     ids_sha, text_sha, decoder, n = hashlib.sha256(), hashlib.sha256(), Decoder(coder.v), 0
 
     def sink(pieces):
         nonlocal n
-        counts, decimals, data, _ = zip(*pieces, strict=True) if pieces else ((), (), (), ())
-        if added := sum(counts):
-            ids_sha.update((("," if n else "") + ",".join(decimals)).encode())
-            text_sha.update(decoder.take(b"".join(data)).encode())
-            n += added
+        if pieces:
+            decimals = ",".join([p[1] for p in pieces])
+            ids_sha.update((("," if n else "") + decimals).encode())
+            text_sha.update(decoder.take(b"".join([p[2] for p in pieces])).encode())
+            n += decimals.count(",") + 1
 
-    coder.pieces(text, sink)
+    coder.pieces(text, sink, cut)
     text_sha.update(decoder.finish().encode())
     return n, ids_sha.hexdigest(), text_sha.hexdigest()
 
@@ -430,9 +459,9 @@ def encode_column(spark: SparkSession, path: str, text):
     @F.pandas_udf("array<int>")
     def encode(texts: pd.Series) -> pd.Series:
         coder, out = encoder(content.value), []
-        for text in coder.ahead(text or "" for text in texts):
+        for text, cut in coder.ahead(text or "" for text in texts):
             ids: list[int] = []
-            coder.encode(text, ids.extend)
+            coder.pieces(text, lambda pieces: ids.extend(chain.from_iterable(p.ids for p in pieces)), cut)  # noqa: B023
             out.append(ids)
         return pd.Series(out, dtype=object)
 
@@ -461,7 +490,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def both_ways(texts: pd.Series) -> pd.DataFrame:
         coder = encoder(content.value)
-        rows = [digest(coder, text) for text in coder.ahead(text or "" for text in texts)]
+        rows = [digest(coder, text, cut) for text, cut in coder.ahead(text or "" for text in texts)]
         return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select("doc_id", both_ways("text").alias("r")).select("doc_id", "r.*")
@@ -486,7 +515,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
             for at in range(0, batch.num_rows, ROWS_AT_ONCE):
                 part = batch.slice(at, ROWS_AT_ONCE)
                 counts, flat, digests = [], [], []
-                for text in coder.ahead(text or "" for text in part.column("text").to_pylist()):
+                for text, cut in coder.ahead(text or "" for text in part.column("text").to_pylist()):
                     ids: list[int] = []
                     decoder, sha = Decoder(coder.v), hashlib.sha256()
 
@@ -495,7 +524,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
                             ids.extend(p.ids)  # noqa: B023
                         sha.update(decoder.take(b"".join([p.data for p in pieces])).encode())  # noqa: B023
 
-                    coder.pieces(text, sink)
+                    coder.pieces(text, sink, cut)
                     sha.update(decoder.finish().encode())
                     counts.append(len(ids))
                     flat.append(np.array(ids, dtype="int32"))
