@@ -38,20 +38,21 @@ _PLAIN = bytes.maketrans(_BREAKS + b"\t" + _LARGE, b"\n" * len(_BREAKS) + b" " +
 LONGEST, NO_LANG = 5, "und"
 # Bits of the bitmaps (2 MB and 8 MB), suffixes of a group, and what a task holds: bytes of text, words, known words.
 WORD_BITS, PAIR_BITS, BUDGET = 24, 26, 500_000
-_SLICE, _STRETCH, _KNOWN = 1 << 22, 2_000_000, 1_000_000
+_SLICE, _STRETCH, _KNOWN = 1 << 21, 1_000_000, 300_000
 _WORDS = [f"w{k}" for k in range(1, LONGEST + 1)]
 
 
 class _Ids(dict):
-    """Word -> id in one language; ``names`` leads back from the ids of all languages."""
+    """Word -> id in one language; ``names``, if asked for, leads back from the ids of all languages."""
 
-    def __init__(self, lang: str, names: dict[int, tuple[str, bytes]]):
+    def __init__(self, lang: str, names: dict[int, tuple[str, bytes]] | None):
         super().__init__()
         self.lang, self.seed, self.names = lang, xxhash.xxh64_intdigest(lang), names
 
     def __missing__(self, word: bytes) -> int:
         made = self[word] = xxhash.xxh64_intdigest(word, self.seed) or 1
-        self.names[made] = self.lang, word
+        if self.names is not None:
+            self.names[made] = self.lang, word
         return made
 
 
@@ -68,13 +69,13 @@ def _slices(data: bytes, size: int):
     yield data[start:]
 
 
-def _stretches(batches, size: int = _STRETCH, part: int = _SLICE):
+def _stretches(batches, size: int = _STRETCH, part: int = _SLICE, named: bool = False):
     """(ids, starts, names) of stretches of words, 0 for the end of a piece; the first ``starts`` places are to be counted.
 
     The words behind them come again at the start of the next stretch, so no suffix is cut.
     """
     words: list[int] = []
-    names: dict[int, tuple[str, bytes]] = {}
+    names: dict[int, tuple[str, bytes]] | None = {} if named else None
     known: dict[str, _Ids] = {}
     for batch in batches:
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
@@ -89,16 +90,16 @@ def _stretches(batches, size: int = _STRETCH, part: int = _SLICE):
                 if len(words) >= size:
                     yield np.array(words, "uint64"), len(words) - LONGEST + 1, names
                     del words[: len(words) - LONGEST + 1]
-                    if len(names) > _KNOWN:
+                    if sum(map(len, known.values())) > _KNOWN:
                         # The words that come again must stay known.
-                        known, names = {}, {w: names[w] for w in words if w}
+                        known, names = {}, {w: names[w] for w in words if w} if named else None
             words.append(0)
     yield np.array(words, "uint64"), len(words), names
 
 
 def _word_rows(batches):
     """(id, lang, word, n): the words of every stretch, and one row a language without a word for how many there are."""
-    for ids, starts, names in _stretches(batches):
+    for ids, starts, names in _stretches(batches, named=True):
         found, n = np.unique(ids[:starts], return_counts=True)
         found, n = (found[1:], n[1:]) if len(found) and not found[0] else (found, n)
         langs, words = zip(*(names[i] for i in found.tolist()), strict=True) if len(found) else ((), ())

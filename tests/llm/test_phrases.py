@@ -77,7 +77,7 @@ def test_stretches_cut_no_suffix():
     (whole, n, _), = phrases._stretches([batch])
     expected = Counter(tuple(whole[i : i + 5]) for i in range(n) if whole[i] and len(whole[i : i + 5]) == 5)
     parts = Counter()
-    for ids, starts, names in phrases._stretches([batch], size=7, part=9):
+    for ids, starts, names in phrases._stretches([batch], size=7, part=9, named=True):
         ids = np.append(ids, np.zeros(5, "uint64"))
         parts.update(tuple(ids[i : i + 5]) for i in range(starts) if ids[i])
         assert all(int(i) in names for i in ids if i)
