@@ -22,7 +22,7 @@ def op3_simhash_anchor_covering(spark, sf_dir):
 @query("op6_fuzzy_lines")
 def op6_fuzzy_lines(spark, sf_dir):
     """Every document with the lines taken out that an earlier similar line makes redundant."""
-    kept = without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), runs=True)
+    kept = without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), blocks=True)
     return kept.select(
         "doc_id",
         F.col("_lines_out").alias("n_removed_lines"),
