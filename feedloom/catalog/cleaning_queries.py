@@ -12,36 +12,38 @@ from feedloom.operators import cleaning, language
 
 CLEANED = with_tables("raw_reviews", "cleaned")
 
-# Words of the whole text, hashed to 65536 buckets.
-BUCKET = "cast(('0x' || substr(md5(w), 1, 4)) as int)"
+# Words of the whole text, and the edges of each of three characters or more.
 SPLIT = r"list_filter(regexp_split_to_array(lower({t}), '[^\p{{L}}\p{{N}}'']+'), lambda x: x <> '')"
+GRAMS = """flatten(list_transform({w}, lambda x: case when length(x) >= 3
+    then [x, concat('^', left(x, 3)), concat(right(x, 3), '$')] else [x] end))"""
 
 
 def words(text: str) -> str:
     return SPLIT.format(t=text)
 
 
+def grams(text: str) -> str:
+    return GRAMS.format(w=words(text))
+
+
 PROFILE = f"""
-train as (select lang, {BUCKET} as bucket from
-    (select lang, unnest({words('text')}) as w from documents) as tw),
-counts as (select lang, bucket, count(*) as n from train group by lang, bucket),
-totals as (select lang, sum(n) as total from counts group by lang)"""
+counts as (select lang, g, count(*) as n from (select lang, unnest({grams('text')}) as g from documents where lang is not null) as tg
+    group by lang, g),
+totals as (select lang, sum(n) as total from counts group by lang),
+vocabulary as (select count(distinct g) as known from counts)"""
 
 
 def judged_language(source: str, keys: str, text: str = "cleaned_text") -> str:
     """CTEs scoring every key of ``source`` and keeping its best language."""
     on = " and ".join(f"s.{k.strip()} = p.{k.strip()}" for k in keys.split(","))
     return f"""
-tok as (select {keys}, {BUCKET} as bucket from
-    (select {keys}, unnest({words(text)}) as w from {source} where length({text}) >= 3) as u),
-seen as (select distinct bucket from counts),
-known as (select {keys}, count(*) as n_seen, count(s.bucket) as known from tok left join seen as s using (bucket) group by {keys}),
-part as (select {keys}, lang, sum(ln((coalesce(n, 0) + 1.0) / cast(total + 65536 as double))) as score
-    from tok cross join totals left join counts using (lang, bucket) group by {keys}, lang),
-best as (select {keys}, lang as language, row_number() over (partition by {keys} order by round(score, 6) desc, lang) as rn
-    from part),
-judged_lang as (select p.{', p.'.join(k.strip() for k in keys.split(','))}, case when known > 0 then language end as language
-    from best as p join known as s on {on} where rn = 1)"""
+tok as (select {keys}, unnest({grams(text)}) as g from {source} where length({text}) >= 3),
+sizes as (select {keys}, count(*) as size from tok group by {keys}),
+hits as (select {keys}, lang, sum(ln(n + 1.0)) as gain from tok join counts using (g) group by {keys}, lang),
+part as (select p.*, gain - size * ln(cast(total + known as double)) as score
+    from hits as p join sizes as s on {on} join totals using (lang) cross join vocabulary),
+judged_lang as (select p.*, lang as language from part as p
+    qualify row_number() over (partition by {keys} order by round(score, 6) desc, lang) = 1)"""
 
 
 def learned_profile(spark, sf_dir):

@@ -186,17 +186,6 @@ def backlog(spark, sf_dir):
     return rounded(view.select("app_id", *VIEW), *VIEW[3:])
 
 
-@query(
-    "load_pain_points",
-    PAIN + " select app_id, theme, cluster_label, review_count, reach_sum from pain where app_id = 'app2' and prompt_version = 'v1'",
-)
-def _load(spark, sf_dir):
-    stored = pain_points(spark, sf_dir)
-    return stored.filter((F.col("app_id") == "app2") & (F.col("prompt_version") == "v1")).select(
-        "app_id", "theme", "cluster_label", "review_count", "reach_sum"
-    )
-
-
 @query(
     "export_backlog",
     SCORED

@@ -9,6 +9,7 @@ from feedloom.catalog.cleaning_queries import words
 from feedloom.catalog.inputs import documents, table
 from feedloom.functions.vectors import l2_normalize
 from feedloom.operators import retrieval
+from feedloom.plans import lsh
 
 DIM = 16
 # Small blocks, so that the given tables span several cells.
@@ -54,6 +55,26 @@ def _embed(spark, sf_dir):
     ).withColumn("value", F.round("value", 6))
 
 
+@query(
+    "embed_tfidf",
+    f"""with tok as (select doc_id, md5(w) as h from (select doc_id, unnest({words('text')}) as w from documents) as t),
+    pool as (select * from tok where doc_id in (select doc_id from labels)),
+    n as (select count(*) as n from documents where doc_id in (select doc_id from labels) and text is not null),
+    idf as (select h, ln((1.0 + n) / (1.0 + count(distinct doc_id))) + 1.0 as idf from pool cross join n group by h, n),
+    b as (select doc_id, cast(('0x' || substr(h, 1, 6)) as int) % {DIM} as bucket,
+        sum(case when substr(h, 32, 1) between '0' and '7' then 1.0 else -1.0 end * coalesce(idf, ln(1.0 + n) + 1.0)) as c
+        from tok left join idf using (h) cross join n group by doc_id, bucket),
+    s as (select doc_id, sqrt(sum(c * c)) as norm from b group by doc_id)
+    select doc_id, bucket, round(c / norm, 6) as value from b join s using (doc_id) where abs(c) > 1e-9""",
+)
+def _tfidf(spark, sf_dir):
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    pool = docs.join(table(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id", "left_semi")
+    embedded = retrieval.embed_tfidf(docs, retrieval.fit_idf(pool), "doc_id", dim=DIM)
+    values = embedded.select("doc_id", F.posexplode("embedding").alias("bucket", "value"))
+    return values.filter(F.abs("value") > 1e-9).withColumn("value", F.round("value", 6))
+
+
 @query(
     "l2_normalize",
     """with v as (select vec_id, unnest(embedding) as x, generate_subscripts(embedding, 1) as i from embeddings),
@@ -148,3 +169,12 @@ def _inspect(spark, sf_dir):
     return retrieval.inspect_retrievals(stored, predicted).select(
         "review_id", "prompt_version", "predicted_theme", "example_rank", "example_text", "example_theme"
     )
+@query("retrieve_approximate", "select count(*) * 3 as exact, true as recalled from embeddings")
+def _approximate(spark, sf_dir):
+    """Whether the index finds at least nine in ten of the exact neighbours of every vector."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("review_id"), "embedding")
+    found = retrieval.retrieve_approximate(vectors, lsh.fit(vectors))
+    exact = retrieval.retrieve_top_k(vectors.withColumn("own", F.col("review_id")), vectors.withColumn("own", F.col("review_id")), exclude="own")
+    return lsh.recall(found, exact).select("exact", (F.col("recall") >= 0.9).alias("recalled"))
+
+

@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from feedloom.catalog import query
-from feedloom.catalog.classify_queries import labelled_ids
-from feedloom.catalog.inputs import raw_reviews, signals, table, with_tables
+from feedloom.catalog.classify_queries import SCORED, labelled_ids, lexicon
+from feedloom.catalog.cleaning_queries import CLEANED, DEDUPED, PROFILE, judged_language, learned_profile
+from feedloom.catalog.inputs import AS_OF, DAYS, raw_reviews, signals, table, with_tables
 from feedloom.catalog.prioritize_queries import pain_points
-from feedloom.operators import upsert
+from feedloom.operators import classify, upsert
+from feedloom.operators.cleaning import add_cleaned_text, clean_and_filter, drop_bad_dates
 from feedloom.plans.staging import staging_root
-from feedloom.schemas import CLASSIFICATIONS, PM_RANKINGS
-from feedloom.sources import readers
+from feedloom.schemas import CLASSIFICATIONS, PAIN_POINT_MEMBERS, PAIN_POINTS, PM_RANKINGS, REVIEWS
+from feedloom.sources import flows, readers
+from feedloom.sources.store import Store
 from feedloom.streaming.ingest import ingest_stream
 
 
@@ -21,11 +25,22 @@ def fresh_path(spark, name: str) -> str:
     return f"{staging_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+# All rows under one app: the first of equal texts, in English, with a date.
+ONE_APP = (
+    CLEANED + DEDUPED.replace("partition by app_id, cleaned_text", "partition by cleaned_text") + "," + PROFILE + ","
+    + judged_language("first_rows", "id")
+    + """, placed as (select id, row_number() over (order by id) - 1 as place from raw_reviews),
+    kept as (select f.*, language, place, cast(review_date as date) as day from first_rows as f join judged_lang as j on f.id = j.id
+        join placed as p on p.id = f.id where language = 'en' and try_cast(review_date as date) is not null)"""
+)
+
+
 @query(
     "csv_mapped_ingest",
-    with_tables("raw_reviews")
-    + """ select text, rating, coalesce(thumbs_up, 0) as thumbs_up, review_date, 'app9' as app_id, 'App Nine' as app_name, 'csv' as source,
-        cast(row_number() over (order by id) - 1 as varchar) as review_id from raw_reviews""",
+    ONE_APP
+    + """ select row_number() over (order by cast(place as varchar)) as id, cast(place as varchar) as review_id, 'app9' as app_id,
+        'App Nine' as app_name, text, cleaned_text, language, rating, coalesce(thumbs_up, 0) as thumbs_up, day as review_date, 'csv' as source
+        from kept""",
 )
 def _csv(spark, sf_dir):
     path = fresh_path(spark, "upload")
@@ -39,8 +54,12 @@ def _csv(spark, sf_dir):
         .option("ignoreTrailingWhiteSpace", False).csv(path)
     )
     mapping = {"text": "Review Text", "rating": "Stars", "thumbs_up": "Likes", "review_date": "Day"}
-    return readers.read_mapped_csv(spark, path, mapping, "app9", "App Nine").select(
-        "text", "rating", "thumbs_up", "review_date", "app_id", "app_name", "source", "review_id"
+    root, profile = fresh_path(spark, "store"), learned_profile(spark, sf_dir)
+    # Two uploads of one file: the second finds nothing new.
+    for _ in range(2):
+        flows.ingest_csv(Store(spark, root), path, mapping, "app9", "App Nine", profile)
+    return Store(spark, root).read("reviews", REVIEWS).select(
+        "id", "review_id", "app_id", "app_name", "text", "cleaned_text", "language", "rating", "thumbs_up", "review_date", "source"
     )
 
 
@@ -89,18 +108,55 @@ def _ignore(spark, sf_dir):
     return upsert.upsert_ignore(stored, incoming, ["app_id", "review_id"], ["seq"], ["app_id", "review_id", "text"])
 
 
+# The same rows through a store of keyed segments.
+@query(
+    "insert_stored",
+    with_tables("raw_reviews")
+    + """ select app_id, review_id, case when id in (select doc_id from labels) then 'stored' else text end as text from raw_reviews
+        where id in (select doc_id from labels) or true_lang <> 'fr'""",
+)
+def _insert_stored(spark, sf_dir):
+    r = raw_reviews(spark, sf_dir)
+    keys, schema = ["app_id", "review_id"], T.StructType([T.StructField(c, T.StringType(), False) for c in ("app_id", "review_id", "text")])
+    stored = r.join(labelled_ids(spark, sf_dir), "id", "left_semi").select(*keys, F.lit("stored").alias("text"), F.lit(0).alias("seq"))
+    first = r.select(*keys, F.when(F.col("true_lang") != "fr", F.col("text")).alias("text"), F.lit(0).alias("seq"))
+    again = first.withColumn("text", F.when(F.col("text").isNotNull(), F.lit("again"))).withColumn("seq", F.lit(1))
+    root = fresh_path(spark, "store")
+    for batch in (stored, first.unionByName(again)):
+        store = Store(spark, root)
+        store.insert("reviews", batch, schema, keys, ["seq"])
+        store.commit()
+    return Store(spark, root).read("reviews", schema)
+
+
 @query(
     "incremental_ingest",
-    """select 'app9' as app_id, cast(doc_id as varchar) as review_id,
-        row_number() over (order by cast(doc_id as varchar)) as id from documents""",
+    ONE_APP
+    + """ select row_number() over (order by cast(id as varchar)) as id, 'app9' as app_id, cast(id as varchar) as review_id, cleaned_text,
+        language, day as review_date from kept""",
 )
 def _incremental(spark, sf_dir):
-    path, out, progress = fresh_path(spark, "dump"), fresh_path(spark, "reviews"), fresh_path(spark, "progress")
+    path, root, progress = fresh_path(spark, "dump"), fresh_path(spark, "store"), fresh_path(spark, "progress")
     write_dump(spark, sf_dir, path)
-    # Two runs: the second finds nothing new.
+    profile = learned_profile(spark, sf_dir)
+
+    def clean(batch):
+        # Files of a dump are as old as each other; the first of equal texts is the one with the smallest number.
+        return clean_and_filter(batch.withColumn("_n", F.col("review_id").cast("long")), ["_n"], profile=profile)
+
+    # The second run finds no new file.
     for _ in range(2):
-        ingest_stream(spark, path, out, progress, "app9", "App Nine", clean=None).awaitTermination()
-    return spark.read.parquet(out).select("app_id", "review_id", "id")
+        ingest_stream(spark, path, root, progress, "app9", "App Nine", clean, into_store=True).awaitTermination()
+    return Store(spark, root).read("reviews", REVIEWS).select("id", "app_id", "review_id", "cleaned_text", "language", "review_date")
+
+
+def stored_pain_points(spark, sf_dir) -> Store:
+    """A store with the pain points of the signals and their members."""
+    store = Store(spark, fresh_path(spark, "store"))
+    points = pain_points(spark, sf_dir)
+    members = signals(spark, sf_dir).filter(F.col("sentiment").isin("negative", "neutral"))
+    flows.store_pain_points(store, points, members, points.select("app_id", "prompt_version"))
+    return Store(spark, store.root)
 
 
 @query(
@@ -110,13 +166,74 @@ def _incremental(spark, sf_dir):
     union all select 'app1', 'v1', theme, cluster_label, review_count + 1 from pain where app_id = 'app3'""",
 )
 def _replace_partition(spark, sf_dir):
-    stored = pain_points(spark, sf_dir).select("app_id", "prompt_version", "theme", "cluster_label", "review_count")
-    new = stored.filter(F.col("app_id") == "app3").select(
-        F.lit("app1").alias("app_id"), "prompt_version", "theme", "cluster_label", (F.col("review_count") + 1).alias("review_count")
+    store = stored_pain_points(spark, sf_dir)
+    new = flows.load_pain_points(store, "app3", "v1").withColumn("app_id", F.lit("app1"))
+    new = new.withColumn("review_count", F.col("review_count") + 1)
+    # No rows are given for app2, which clears it.
+    slices = spark.createDataFrame([("app1", "v1"), ("app2", "v1")], "app_id string, prompt_version string")
+    members = store.read("pain_point_members", PAIN_POINT_MEMBERS).filter("app_id = 'app3'").withColumn("app_id", F.lit("app1"))
+    flows.store_pain_points(store, new, members, slices)
+    stored = Store(spark, store.root).read("pain_points", PAIN_POINTS)
+    return stored.select("app_id", "prompt_version", "theme", "cluster_label", "review_count")
+
+
+@query(
+    "load_pain_points",
+    with_tables("signals", "pain")
+    + """ select app_id, theme, cluster_label, review_count, reach_sum, n_members from pain as p join (select app_id, theme, cluster_label,
+        count(*) as n_members from signals where sentiment in ('negative', 'neutral') group by all) as m using (app_id, theme, cluster_label)
+        where app_id = 'app2' and prompt_version = 'v1'""",
+)
+def _load_pain_points(spark, sf_dir):
+    store = stored_pain_points(spark, sf_dir)
+    points = flows.load_pain_points(store, "app2", "v1")
+    keys = ["app_id", "prompt_version", "theme", "cluster_label"]
+    members = store.read("pain_point_members", PAIN_POINT_MEMBERS).groupBy(keys).agg(F.count(F.lit(1)).alias("n_members"))
+    return points.join(members, keys).select("app_id", "theme", "cluster_label", "review_count", "reach_sum", "n_members")
+
+
+@query(
+    "classify_and_store",
+    SCORED
+    + """ select id as review_id, 'v1' as prompt_version, theme, sentiment, severity, reasoning, true as dated, 0 as asked_again from scored""",
+)
+def _classify_and_store(spark, sf_dir):
+    reviews = raw_reviews(spark, sf_dir).transform(add_cleaned_text).select("id", "cleaned_text")
+    scorer, root = classify.lexicon_scorer(lexicon(spark, sf_dir)), fresh_path(spark, "store")
+    flows.classify_and_store(Store(spark, root), reviews, "v1", scorer)
+    again = flows.classify_and_store(Store(spark, root), reviews, "v1", scorer)
+    return Store(spark, root).read("classifications", CLASSIFICATIONS).select(
+        "review_id", "prompt_version", "theme", "sentiment", "severity", "reasoning",
+        F.col("created_at").isNotNull().alias("dated"), F.lit(again["misses"]).cast("int").alias("asked_again"),
+    )
+
+
+# Groups are left whole, so that SQL can follow the flow from classification to stored pain points and their members.
+@query(
+    "stored_pain_points",
+    SCORED
+    + f""", labelled as (select s.id as review_id, r.app_id, s.theme, s.severity, coalesce(r.rating, 3) as rating, r.thumbs_up,
+        cast(r.review_date as date) as review_date from scored as s join raw_reviews as r on s.id = r.id
+        where s.sentiment in ('negative', 'neutral') and try_cast(r.review_date as date) is not null)
+    select app_id, 'v1' as prompt_version, theme, 0 as cluster_label, count(*) as review_count, count(*) as n_members,
+        sum(review_id) as member_sum, cast(coalesce(sum(thumbs_up), 0) as bigint) as reach_sum,
+        count(*) filter (where review_date > date '{AS_OF}' - {DAYS} and review_date <= date '{AS_OF}') as last_30_count,
+        count(*) filter (where review_date > date '{AS_OF}' - {2 * DAYS} and review_date <= date '{AS_OF}' - {DAYS}) as prev_30_count
+    from labelled group by app_id, theme""",
+)
+def _stored_pain_points(spark, sf_dir):
+    reviews = raw_reviews(spark, sf_dir).transform(add_cleaned_text).transform(drop_bad_dates)
+    store = Store(spark, fresh_path(spark, "store"))
+    flows.classify_and_store(store, reviews.select("id", "cleaned_text"), "v1", classify.lexicon_scorer(lexicon(spark, sf_dir)))
+    # No group reaches this size.
+    flows.build_and_store(store, reviews, min_cluster_size=1 << 30, as_of=F.lit(AS_OF).cast("date"), days=DAYS)
+    stored = Store(spark, store.root)
+    keys = ["app_id", "prompt_version", "theme", "cluster_label"]
+    members = stored.read("pain_point_members", PAIN_POINT_MEMBERS).groupBy(keys).agg(
+        F.count(F.lit(1)).alias("n_members"), F.sum("review_id").alias("member_sum")
     )
-    replaced = upsert.replace_slice(stored, new, app_id="app1", prompt_version="v1")
-    # An empty replacement clears the slice.
-    return upsert.replace_slice(replaced, new.filter(F.lit(False)), app_id="app2", prompt_version="v1")
+    counts = ["review_count", "n_members", "member_sum", "reach_sum", "last_30_count", "prev_30_count"]
+    return stored.read("pain_points", PAIN_POINTS).join(members, keys).select(*keys, *counts)
 
 
 @query(

@@ -236,11 +236,6 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}']+"), lambda t: t != "")
 
 
-def token_bucket(token: Column, digits: int = 4) -> Column:
-    """Hash a token into one of 16**digits buckets; the same bucket on every engine."""
-    return F.conv(F.substring(F.md5(token), 1, digits), 16, 10).cast("int")
-
-
 def cache_key(prompt_version: Column, text: Column, context_hash: Column | None = None) -> Column:
     """sha256 of ``version:text``, optionally extended by a hash of the retrieval context."""
     parts = [prompt_version, text] + ([context_hash] if context_hash is not None else [])

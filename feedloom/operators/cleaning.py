@@ -11,6 +11,7 @@ from feedloom.functions.dates import ISO, parse_date
 from feedloom.functions.text import clean_text, has_text
 from feedloom.operators.language import detect_language, seed_profile
 from feedloom.plans.ordering import grouped_position
+from feedloom.plans.winners import KEY, one_per_key
 
 # Fixed value: languages kept by default.
 KEEP_LANGUAGES = ("en",)
@@ -29,26 +30,14 @@ def drop_empty(df: DataFrame) -> DataFrame:
     return df.filter(has_text(F.col("text")) if "text" in df.columns else F.length("cleaned_text") > 0)
 
 
-def keep_first(df: DataFrame, keys: dict[str, Column], order: Sequence[str]) -> DataFrame:
-    """First row per key in ``order``, which must be unique and not null.
-
-    An aggregate, not a window: every map task folds its copies to one row before the shuffle,
-    so a text that makes up a third of the table costs one row per task.
-    """
-    first = F.min_by(F.struct(*df.columns), F.struct(*order))
-    return df.groupBy(*[expr.alias(f"_k_{name}") for name, expr in keys.items()]).agg(first.alias("_row")).select(
-        *[f"_k_{name}" for name in keys], "_row.*"
-    )
-
-
 def dedupe_first(df: DataFrame, order: Sequence[str]) -> DataFrame:
     """Drop repeats of (app_id, cleaned_text), first wins."""
-    return _dedupe_keyed(df, order).drop("_k_app", "_k_text")
+    return _dedupe_keyed(df, order).select(df.columns)
 
 
 def _dedupe_keyed(df: DataFrame, order: Sequence[str]) -> DataFrame:
-    # The digest keeps long texts out of the grouping key.
-    return keep_first(df, {"app": F.col("app_id"), "text": F.sha2("cleaned_text", 256)}, order)
+    """The first rows with the digest of their key, which names a row from here on."""
+    return one_per_key(df, [F.col("app_id"), F.col("cleaned_text")], order)
 
 
 def filter_language(df: DataFrame, keep: Sequence[str] = KEEP_LANGUAGES) -> DataFrame:
@@ -69,27 +58,21 @@ def clean_and_filter(
     profile: DataFrame | None = None,
     formats: Sequence[str] = ISO,
 ) -> DataFrame:
-    """Clean, drop empties, first-wins dedupe, language filter, date filter: in this order.
-
-    Language scoring groups by the dedupe key, so it runs on the partitions the dedupe left.
-    """
+    """Clean, drop empties, first-wins dedupe, language filter, date filter: in this order."""
     deduped = df.transform(add_cleaned_text).transform(drop_empty).transform(_dedupe_keyed, order)
     profile = profile if profile is not None else seed_profile(df.sparkSession)
     return (
-        detect_language(deduped, profile, keys=("_k_app", "_k_text"))
+        detect_language(deduped, profile, keys=KEY)
         .transform(filter_language, keep_languages)
         .transform(drop_bad_dates, formats)
-        .drop("_k_app", "_k_text")
+        .drop(*KEY)
     )
 
 
 def drop_reasons(df: DataFrame, order: Sequence[str], profile: DataFrame, keep_languages: Sequence[str] = KEEP_LANGUAGES) -> DataFrame:
     """Rows in, and rows lost at each cleaning step, so a silent zero-row import shows its cause."""
     cleaned = df.transform(add_cleaned_text).withColumn("_empty", ~F.coalesce(has_text(F.col("text")), F.lit(False)))
-    keyed = keep_first(
-        cleaned.filter(~F.col("_empty")), {"app": F.col("app_id"), "text": F.sha2("cleaned_text", 256)}, order
-    )
-    judged = detect_language(keyed, profile, keys=("_k_app", "_k_text"))
+    judged = detect_language(_dedupe_keyed(cleaned.filter(~F.col("_empty")), order), profile, keys=KEY)
     kept_lang = F.coalesce(F.col("language").isin(*keep_languages), F.lit(False))
     dated = parse_date(F.col("review_date").cast("string")).isNotNull()
     tallies = cleaned.select(F.lit("input").alias("step")).unionByName(

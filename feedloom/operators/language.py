@@ -1,20 +1,23 @@
-"""Language identification from a learned word profile, as a join and an aggregate."""
+"""Language identification from a learned profile of words and word edges, as a join and an aggregate.
+
+A text's features are its words and the first and last three characters of each. The profile has a row per feature
+and language it was seen in, keyed by a 64-bit hash, and one row per language for what every feature costs; it has no
+bound on words or languages. The score of a language is a sum over the joined rows: add-one smoothed log frequencies.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.functions.text import token_bucket, tokens
+from feedloom.functions.text import tokens
+from feedloom.plans.layout import small_side
+from feedloom.plans.staging import stage
 
-# Fixed value: hex digits of the word hash; the profile never has more than 16**digits rows.
-DIGITS = 4
-# Fixed value: more languages than this is a labelling error, not a profile.
-MAX_LANGUAGES = 200
-# Fixed value: shorter texts have no language.
-MIN_LENGTH = 3
+# Shorter texts have no language; characters of a word edge; the key of the rows per language.
+MIN_LENGTH, EDGE, EVERY = 3, 3, 0
 
 # Frequent function words per language, for use without labelled text.
 FUNCTION_WORDS = {
@@ -27,75 +30,59 @@ FUNCTION_WORDS = {
 }
 
 
+def features(text: Column) -> Column:
+    """The words of a text and their edges, as 64-bit keys."""
+    word = lambda w: F.array(w)
+    edges = lambda w: F.array(w, F.concat(F.lit("^"), F.left(w, F.lit(EDGE))), F.concat(F.right(w, F.lit(EDGE)), F.lit("$")))
+    grams = F.flatten(F.transform(tokens(text), lambda w: F.when(F.length(w) >= EDGE, edges(w)).otherwise(word(w))))
+    return F.transform(grams, lambda g: F.xxhash64(g))
+
+
 def learn_profile(labelled: DataFrame, text: str = "text", language: str = "lang") -> DataFrame:
-    """(bucket, seen, logp per language) from labelled text; at most 16**DIGITS rows.
+    """(gram, lang, gain) from labelled text, written: what an occurrence of the feature adds to the language's score.
 
-    Add-one smoothed log frequency of every word bucket in every language.
+    The row of a language under EVERY is what every feature of a text, known or not, adds to it.
     """
-    words = labelled.select(
-        F.col(language).alias("lang"), F.explode(F.transform(tokens(F.col(text)), lambda t: token_bucket(t, DIGITS))).alias("bucket")
-    )
-    return _profile(words.groupBy("bucket", "lang").agg(F.count(F.lit(1)).alias("n")))
+    rows = labelled.filter(F.col(language).isNotNull()).select(F.col(language).alias("lang"), F.explode(features(F.col(text))).alias("gram"))
+    return _profile(rows.groupBy("gram", "lang").agg(F.count(F.lit(1)).alias("n")))
 
 
 def seed_profile(spark: SparkSession) -> DataFrame:
     """A small profile from the fixed function words, one count each."""
-    rows = [(w, lang) for lang, words in FUNCTION_WORDS.items() for w in words.split()]
-    seeds = spark.createDataFrame(rows, "word string, lang string")
-    return _profile(
-        seeds.select(token_bucket(F.col("word"), DIGITS).alias("bucket"), "lang")
-        .groupBy("bucket", "lang")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    rows = [(" ".join(words.split()), lang) for lang, words in FUNCTION_WORDS.items()]
+    return learn_profile(spark.createDataFrame(rows, "text string, lang string"))
 
 
 def _profile(counts: DataFrame) -> DataFrame:
-    size = 16**DIGITS
-    languages = sorted(r.lang for r in counts.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages in the labelled text")
-    wide = counts.groupBy("bucket").pivot("lang", languages).agg(F.sum("n"))
-    totals = counts.groupBy().pivot("lang", languages).agg(F.sum("n").alias("n")).first()
-    every = counts.sparkSession.range(size).select(F.col("id").cast("int").alias("bucket"))
-    filled = every.join(wide, "bucket", "left")
-    return filled.select(
-        "bucket",
-        F.coalesce(*[F.col(f"`{lang}`") for lang in languages]).isNotNull().cast("int").alias("seen"),
-        *[
-            F.log((F.coalesce(F.col(f"`{lang}`"), F.lit(0)) + 1.0) / F.lit(float((totals[lang] or 0) + size))).alias(
-                f"logp_{lang}"
-            )
-            for lang in languages
-        ],
-    )
-
-
-def profile_languages(profile: DataFrame) -> list[str]:
-    return [c.removeprefix("logp_") for c in profile.columns if c.startswith("logp_")]
+    counts = stage(counts, "language-counts")
+    known = counts.agg(F.count_distinct("gram")).first()[0]
+    totals = counts.groupBy("lang").agg(F.sum("n").alias("n"))
+    every = totals.select(F.lit(EVERY).cast("long").alias("gram"), "lang", (-F.log(F.col("n") + F.lit(float(known)))).alias("gain"))
+    return stage(counts.select("gram", "lang", F.log(F.col("n") + 1.0).alias("gain")).unionByName(every), "language-profile")
 
 
 def language_scores(df: DataFrame, profile: DataFrame, keys: Sequence[str], text: str = "cleaned_text") -> DataFrame:
-    """Summed log frequency per language over the whole text of each key."""
-    languages = profile_languages(profile)
-    words = df.filter(F.length(text) >= MIN_LENGTH).select(
-        *keys, F.explode(F.transform(tokens(F.col(text)), lambda t: token_bucket(t, DIGITS))).alias("bucket")
-    )
-    # Bounded by construction: 16**DIGITS rows of at most MAX_LANGUAGES numbers.
-    return (
-        words.join(F.broadcast(profile), "bucket")
-        .groupBy(*keys)
-        .agg(F.sum("seen").alias("seen"), *[F.sum(f"logp_{lang}").alias(f"logp_{lang}") for lang in languages])
+    """(keys, lang, score, known): a row per key and language that shares a feature with the whole text."""
+    grams = df.filter(F.length(text) >= MIN_LENGTH).select(*keys, features(F.col(text)).alias("_grams"))
+    # How often each feature counts; the row per language counts once for every feature.
+    times = F.concat(
+        F.transform("_grams", lambda g: F.struct(g.alias("gram"), F.lit(1).alias("times"))),
+        F.array(F.struct(F.lit(EVERY).cast("long").alias("gram"), F.size("_grams").alias("times"))),
     )
+    rows = grams.select(*keys, F.inline(times))
+    side = small_side(profile)
+    if side is None:
+        # Beyond what can be sent out, features are counted per text before they meet the profile.
+        rows = rows.groupBy(*keys, "gram").agg(F.sum("times").alias("times"))
+    scores = rows.join(profile if side is None else side, "gram").groupBy(*keys, "lang")
+    known = F.sum(F.when(F.col("gram") != EVERY, F.col("times")).otherwise(0)).alias("known")
+    return scores.agg(F.sum(F.col("times") * F.col("gain")).alias("score"), known).filter("known > 0")
 
 
 def detect_language(
     df: DataFrame, profile: DataFrame, keys: Sequence[str] = ("id",), text: str = "cleaned_text"
 ) -> DataFrame:
-    """Add ``language``: the best-scoring one; null below three characters or without a known word."""
-    languages = profile_languages(profile)
+    """Add ``language``: the best-scoring one; null below three characters or without a known feature."""
     scores = language_scores(df, profile, keys, text)
-    rounded = {lang: F.round(f"logp_{lang}", 6) for lang in languages}
-    best = F.greatest(*rounded.values()) if len(languages) > 1 else rounded[languages[0]]
-    pick = F.coalesce(*[F.when(rounded[lang] == best, F.lit(lang)) for lang in languages])
-    judged = scores.select(*keys, F.when(F.col("seen") > 0, pick).alias("language"))
-    return df.drop("language").join(judged, list(keys), "left")
+    best = F.min_by("lang", F.struct(-F.round("score", 6), F.col("lang"))).alias("language")
+    return df.drop("language").join(scores.groupBy(*keys).agg(best), list(keys), "left")

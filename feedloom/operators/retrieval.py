@@ -8,9 +8,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.functions.vectors import hashed_embedding
+from feedloom.functions.text import tokens
+from feedloom.functions.vectors import hashed_embedding, place_and_sign, word_key
 from feedloom.operators.upsert import upsert_replace
+from feedloom.plans import lsh
 from feedloom.plans.knn import BLOCK_ROWS, knn_join
+from feedloom.plans.layout import small_side
+from feedloom.plans.staging import stage
 
 # Examples per review, texts per embedding request, default dimensions.
 EXAMPLES = 3
@@ -23,6 +27,39 @@ def embed_texts(df: DataFrame, text: str = "text", dim: int = DIM) -> DataFrame:
     return df.withColumn("embedding", hashed_embedding(F.col(text), dim))
 
 
+def fit_idf(pool: DataFrame, text: str = "text") -> DataFrame:
+    """(term, idf) of the pool's words, written: to be stored with the pool and used again for every query.
+
+    The smoothed inverse document frequency ln((1 + n) / (1 + df)) + 1; the row with an empty term holds it for words
+    the pool does not have. Words are keyed by their hash.
+    """
+    terms = pool.select(F.array_distinct(F.transform(tokens(F.col(text)), word_key)).alias("terms"))
+    n = terms.filter("terms is not null").count()
+    counts = terms.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    unseen = pool.sparkSession.createDataFrame([("", 0)], "term string, df long")
+    idf = F.log(F.lit(1.0 + n) / (1.0 + F.col("df"))) + 1.0
+    return stage(counts.unionByName(unseen).select("term", idf.alias("idf")), "idf")
+
+
+def embed_tfidf(df: DataFrame, idf: DataFrame, key: str, text: str = "text", dim: int = DIM) -> DataFrame:
+    """(key, embedding): unit vectors of signed word counts times idf, words hashed into ``dim`` places.
+
+    All in the JVM: word counts per text meet the idf table, and a text's places are put together from at most
+    ``dim`` sums. A text without a direction has no row.
+    """
+    words = df.select(key, F.explode(F.transform(tokens(F.col(text)), word_key)).alias("term"))
+    counts = words.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    side = small_side(idf)
+    unseen = idf.filter("term = ''").first()["idf"]
+    weight = F.col("tf") * F.coalesce("idf", F.lit(unseen))
+    place, sign = place_and_sign(F.col("term"), dim)
+    placed = counts.join(idf if side is None else side, "term", "left").select(key, place.alias("place"), (sign * weight).alias("w"))
+    sums = placed.groupBy(key, "place").agg(F.sum("w").alias("w")).filter("w != 0")
+    sparse = sums.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("place", "w"))).alias("m"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    value = lambda i: F.coalesce(F.element_at(F.col("m"), i), F.lit(0.0)) / F.col("norm")
+    return sparse.select(key, F.transform(F.sequence(F.lit(1), F.lit(dim)), value).alias("embedding"))
+
+
 def embed_with(df: DataFrame, embed: Callable[[list[str]], list], text: str = "text", batch: int = EMBED_BATCH) -> DataFrame:
     """Add ``embedding`` from a user function texts -> vectors, called on executors, ``batch`` texts at a time."""
     from pyspark.sql import types as T
@@ -63,6 +100,14 @@ def retrieve_top_k(
     )
 
 
+def retrieve_approximate(queries: DataFrame, index: lsh.Index, k: int = EXAMPLES, **params) -> DataFrame:
+    """As ``retrieve_top_k``, from a fitted index: most of the nearest rows at a fraction of the work. Exact search stays the default.
+
+    ``lsh.fit`` makes the index of a pool, ``lsh.recall`` tells what share of the exact neighbours was found.
+    """
+    return lsh.search(queries, index, k, **params)
+
+
 def kfold_retrieve(folded: DataFrame, k: int = EXAMPLES, key: str = "review_id", **params) -> DataFrame:
     """Every labelled row queries the rows of the other folds only; one join for all folds."""
     return retrieve_top_k(folded, folded, k, key, key, exclude="fold", **params)

@@ -7,23 +7,17 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from feedloom.plans.winners import one_per_key
+
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """First row per key in a unique ``order``; folded in every map task before the shuffle."""
-    return df.groupBy(*keys).agg(F.min_by(F.struct(*_rest(df, keys)), F.struct(*order)).alias("_row")).select(
-        *keys, "_row.*"
-    ).select(*df.columns)
+    """First row per key in ``order``; of rows that tie, the one that comes first in the input."""
+    return one_per_key(df, [F.col(k) for k in keys], order).select(df.columns)
 
 
 def last_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Last row per key in a unique ``order``."""
-    return df.groupBy(*keys).agg(F.max_by(F.struct(*_rest(df, keys)), F.struct(*order)).alias("_row")).select(
-        *keys, "_row.*"
-    ).select(*df.columns)
-
-
-def _rest(df: DataFrame, keys: Sequence[str]) -> list[str]:
-    return [c for c in df.columns if c not in keys]
+    """Last row per key in ``order``."""
+    return one_per_key(df, [F.col(k) for k in keys], order, last=True).select(df.columns)
 
 
 def new_rows(

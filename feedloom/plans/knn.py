@@ -162,7 +162,7 @@ def search_cells(
     """The neighbour join over rows already assigned to cells.
 
     ``by_edge``: ties break by the unordered id pair, and per label only the best pairs of a block
-    are looked for (for spanning trees; k must be 1). A column ``limit`` of the queries bounds the
+    are looked for (for spanning trees; k must be 1 unless every row has a label of its own). A column ``limit`` of the queries bounds the
     distances looked for; a query without a partner within its limit has no row.
     """
     if "limit" not in q.columns:

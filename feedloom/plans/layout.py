@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Narrow rows (a few numbers each) up to which a table is sent to every executor: some tens of MB.
+BROADCAST_ROWS = 1_000_000
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -13,3 +17,8 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame | None:
+    """``df``, cheap to count and narrow, marked for broadcast; None if it has more than ``rows`` rows."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else None

@@ -65,6 +65,10 @@ PAIN_POINTS = _schema(
     example_quotes=T.ArrayType(T.StringType()),
     example_review_ids=T.ArrayType(T.LongType()),
 )
+PAIN_POINT_MEMBERS = _schema(
+    "app_id string, prompt_version string, theme string, cluster_label int, review_id bigint",
+    ("app_id", "prompt_version", "theme", "cluster_label", "review_id"),
+)
 MODEL_CACHE = _schema(
     "cache_key string, response struct, created_at timestamp",
     ("cache_key",),

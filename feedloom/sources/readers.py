@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from feedloom.operators.cleaning import content_id, fill_defaults, positional_id, whole_number
+from feedloom.plans.layout import small_side
+from feedloom.plans.ordering import grouped_running
+from feedloom.plans.staging import stage
 
 # Fields a CSV must map.
 REQUIRED_CSV_FIELDS = ("text", "rating")
@@ -23,6 +26,53 @@ DUMP_SCHEMA = (
 INPUT_ORDER = ("_file", "_start", "_row")
 
 
+# What a quoted field may hold, what follows its closing quote, and an unquoted field.
+_QUOTED, _AFTER, _BARE = r'(?:[^"]++|"")*+', r"[^,]*+", r'(?!")[^,]*+'
+# A line that starts between records and ends inside a quoted field; one that starts inside a field and never leaves it.
+_OPENS = rf'^(?:(?:"{_QUOTED}"(?!"){_AFTER}|{_BARE}),)*+"{_QUOTED}$'
+_STAYS = rf'^{_QUOTED}$'
+_CLOSES = rf'^{_QUOTED}"(?!"){_AFTER}(?:,|$)'
+
+
+def csv_records(spark: SparkSession, path: str) -> DataFrame:
+    """(_file, _row, value): the records of CSV files, read in splits; a quoted field may hold line breaks.
+
+    Whether a line starts inside a quoted field depends on all lines before it. What a line does to that state is one of
+    four: keep it, turn it, open, close. The state at a line is that of the last line that opens or closes, turned by those since,
+    so running maxima and exclusive ors over range partitions give it to every line, and a running count of the lines that
+    start outside numbers the records. Only records of several lines are put together; the others stay where they are.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_line"),
+        F.regexp_replace("value", r"\r$", "").alias("value"),
+    )
+    from_out = F.col("value").rlike(_OPENS)
+    from_in = F.col("value").rlike(_STAYS) | F.regexp_replace("value", _CLOSES, "").rlike(_OPENS)
+    lines = lines.withColumn("_out", from_out.cast("long")).withColumn("_in", from_in.cast("long"))
+    turns = F.when(F.col("_out") > F.col("_in"), 1).otherwise(0).cast("long")
+    order = [F.col("_start"), F.col("_line")]
+    turned = grouped_running(lines, ["_file"], order, xors={"_turned": turns})
+    # Where a line sets the state whatever it was, what the turns since then are compared with.
+    fixed = F.when(F.col("_out") == F.col("_in"), F.struct("_start", "_line", F.col("_out").bitwiseXOR(F.col("_turned")).alias("s")))
+    at = grouped_running(turned, ["_file"], order, maxima={"_fixed": fixed})
+    ends_in = F.coalesce(F.col("_fixed.s"), F.lit(0)).bitwiseXOR(F.col("_turned"))
+    after = at.select("_file", "_start", "_line", "value", ends_in.alias("_ends_in"))
+    # A line belongs to the record that is open after the line before it; ends are counted up to and without it.
+    numbered = grouped_running(after, ["_file"], order, sums={"_ended": 1 - F.col("_ends_in")})
+    numbered = numbered.withColumn("_row", F.col("_ended") - (1 - F.col("_ends_in")))
+    numbered = stage(numbered.select("_file", "_start", "_line", "_row", "value", "_ends_in"), "csv-lines")
+    # A record of several lines has lines that do not end it.
+    broken = numbered.filter("_ends_in = 1").select("_file", "_row").distinct()
+    side = small_side(broken)
+    broken = broken if side is None else side
+    whole = numbered.join(broken, ["_file", "_row"], "left_anti").select("_file", "_row", "value")
+    parts = numbered.join(broken, ["_file", "_row"], "left_semi").groupBy("_file", "_row")
+    joined = parts.agg(F.sort_array(F.collect_list(F.struct("_start", "_line", "value"))).alias("_parts"))
+    return whole.unionByName(joined.select("_file", "_row", F.array_join(F.col("_parts.value"), "\n").alias("value")))
+
+
 def read_mapped_csv(
     spark: SparkSession,
     path: str,
@@ -34,20 +84,30 @@ def read_mapped_csv(
 ) -> DataFrame:
     """A CSV with its columns renamed to ours (field -> CSV column), constants and defaults added.
 
-    Rows keep their place in the input (INPUT_ORDER), which first-wins needs. Quoted line breaks
-    force one task per file; ``multiline=False`` lets Spark split large files.
+    Rows keep their place in the input (INPUT_ORDER), which first-wins needs. Large files are split, with quoted line
+    breaks too (``csv_records``); ``multiline=False`` saves the passes that these cost.
     """
-    raw = spark.read.option("header", True).option("multiLine", multiline).option("escape", '"').csv(path)
+    reader = spark.read.option("header", True).option("escape", '"')
+    raw = reader.csv(path)
     columns = {csv: field for field, csv in mapping.items()}
+    missing = [f for f in REQUIRED_CSV_FIELDS if f not in [columns.get(c, c) for c in raw.columns]]
+    if missing:
+        raise ValueError(f"no CSV column is mapped to {', '.join(repr(m) for m in missing)}")
+    if multiline:
+        names = T.StructType([T.StructField(c, T.StringType()) for c in raw.columns])
+        # The first record of every file is its header; blank lines are no records.
+        rows = csv_records(spark, path).filter("_row > 0 and value <> ''")
+        fields = F.from_csv("value", names.toDDL(), {"escape": '"', "multiLine": "true"})
+        raw = rows.select("_file", "_row", fields.alias("_fields")).select(
+            *[F.col("_fields").getField(c).alias(columns.get(c, c)) for c in raw.columns], "_file", F.lit(0).cast("long").alias("_start"), "_row"
+        )
+        return map_rows(raw, app_id, app_name, INPUT_ORDER, id_mode)
     named = raw.select(
         *[F.col(f"`{c}`").alias(columns.get(c, c)) for c in raw.columns],
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_start"),
         F.monotonically_increasing_id().alias("_row"),
     )
-    missing = [f for f in REQUIRED_CSV_FIELDS if f not in named.columns]
-    if missing:
-        raise ValueError(f"no CSV column is mapped to {', '.join(repr(m) for m in missing)}")
     return map_rows(named, app_id, app_name, INPUT_ORDER, id_mode)
 
 

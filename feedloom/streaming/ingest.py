@@ -12,6 +12,7 @@ from feedloom.functions.dates import parse_date
 from feedloom.operators.cleaning import add_cleaned_text
 from feedloom.schemas import REVIEWS
 from feedloom.sources.readers import DUMP_SCHEMA, normalize_dump
+from feedloom.sources.store import Store
 from feedloom.sources.tables import insert_new
 
 KEYS = ["app_id", "review_id"]
@@ -25,6 +26,16 @@ def append_new(batch: DataFrame, table_path: str) -> int:
     return insert_new(batch.sparkSession, table_path, batch, REVIEWS, KEYS, ["_row"])
 
 
+def store_batch(batch: DataFrame, number: int, root: str, stream: str, clean: Callable[[DataFrame], DataFrame]) -> int:
+    """Clean and store one batch of a stream exactly once; returns how many rows are new."""
+    target = Store(batch.sparkSession, root)
+    if target.seen(stream, number):
+        return 0
+    added = target.insert("reviews", clean(batch), REVIEWS, KEYS, ["_row"])
+    target.commit(**{stream: number})
+    return added
+
+
 def normalize_only(batch: DataFrame) -> DataFrame:
     """Cleaned text and typed dates, no rows dropped."""
     return add_cleaned_text(batch).withColumn("review_date", parse_date(F.col("review_date")))
@@ -39,11 +50,16 @@ def ingest_stream(
     app_name: str,
     clean: Callable[[DataFrame], DataFrame] | None = None,
     max_files: int | None = None,
+    into_store: bool = False,
 ) -> StreamingQuery:
     """Process every dump file not seen before, then stop; run it again for later files.
 
     ``clean`` is applied to each micro-batch, whose input order is the column ``_row``: older files
     first, then by path and place in the file. Without it texts and dates are only normalised.
+
+    With ``into_store`` the folder ``table_path`` is a store: rows and the number of the batch become visible in one
+    commit, so a batch delivered again after a failure adds nothing and is not even cleaned again. The
+    stream is known in the ledger by its progress folder.
     """
     source = spark.readStream.schema(DUMP_SCHEMA)
     if max_files is not None:
@@ -56,12 +72,15 @@ def ingest_stream(
     )
     raw = normalize_dump(read.withColumn("_place", placed), app_id, app_name, ["_place"])
 
-    def store(batch: DataFrame, _: int) -> None:
+    def store(batch: DataFrame, number: int) -> None:
         # Row numbers grow within a block; between blocks the file decides, however Spark packs its tasks.
         ordered = batch.withColumn(
             "_row", F.struct("_place.time", "_place.file", "_place.start", F.monotonically_increasing_id().alias("row"))
         ).drop("_place")
-        append_new((clean or normalize_only)(ordered), table_path)
+        if into_store:
+            store_batch(ordered, number, table_path, progress_path, clean or normalize_only)
+        else:
+            append_new((clean or normalize_only)(ordered), table_path)
 
     return (
         raw.writeStream.trigger(availableNow=True)

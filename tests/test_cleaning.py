@@ -69,13 +69,27 @@ def test_language(spark, text, expected):
     assert language.detect_language(df, language.seed_profile(spark)).first().language == expected
 
 
-def test_learned_profile_is_bounded_and_whole_texts_count(spark):
-    train = spark.createDataFrame([("uno dos tres", "es"), ("one two three", "en")], "text string, lang string")
+def test_learned_profile_and_whole_texts(spark):
+    train = spark.createDataFrame([("uno dos tres", "es"), ("one two three", "en"), ("nobody knows", None)], "text string, lang string")
     profile = language.learn_profile(train)
-    assert profile.count() == 16**language.DIGITS
     late = "zzz " * 5000 + "dos tres"
-    df = spark.createDataFrame([(1, late)], "id int, cleaned_text string")
-    assert language.detect_language(df, profile).first().language == "es"
+    df = spark.createDataFrame([(1, late), (2, "twofold threesome"), (3, "knows"), (1, late)], "id int, cleaned_text string")
+    got = {r.id: r.language for r in language.detect_language(df, profile).collect()}
+    assert got == {1: "es", 2: "en", 3: None}
+
+
+def test_language_has_no_bound_on_words_or_languages(spark, monkeypatch):
+    # 70,000 words of one language and 300 languages of a few words each; letters only, so that no two words share an edge by rule.
+    spell = lambda n, k: "".join(chr(97 + n // 26**i % 26) for i in range(k))
+    rows = [(" ".join(spell(n, 5) for n in range(k, 70_000, 70)), "big") for k in range(70)]
+    rows += [(f"{spell(n, 3)}qqq{spell(n, 3)} x{n}", f"l{n}") for n in range(300)]
+    profile = language.learn_profile(spark.createDataFrame(rows, "text string, lang string"))
+    ask = [(1, spell(69_999, 5) + " " + spell(123, 5)), (2, "x7 x7"), (3, "x299 unknown"), (4, "9999")]
+    df = spark.createDataFrame(ask, "id int, cleaned_text string")
+    expected = {1: "big", 2: "l7", 3: "l299", 4: None}
+    assert {r.id: r.language for r in language.detect_language(df, profile).collect()} == expected
+    monkeypatch.setattr(language, "small_side", lambda profile: None)
+    assert {r.id: r.language for r in language.detect_language(df, profile).collect()} == expected
 
 
 def test_positional_ids_follow_input_order(spark):

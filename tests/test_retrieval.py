@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from feedloom.operators import retrieval, sampling
-from feedloom.plans import knn
+from feedloom.plans import knn, lsh
 from feedloom.plans.knn import knn_join
 
 
@@ -88,3 +88,36 @@ def test_one_block_pool_needs_no_cross_product(spark):
     df = spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(50)], "id bigint, embedding array<double>")
     plan = knn.knn_join(df, df, 3)._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoop" not in plan
+
+
+def test_index_finds_most_of_the_exact_neighbours(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(30, 16)) * 2
+    vectors = centres[rng.integers(0, 30, 1_500)] + rng.normal(size=(1_500, 16))
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(vectors)] + [(9_000, None)]
+    pool = spark.createDataFrame(rows, "review_id long, embedding array<double>")
+    index = lsh.fit(pool, bucket_rows=40)
+    assert index.planes.shape[1] == 6 and index.rows.count() == 1_500 * lsh.TABLES
+    queries = pool.filter("review_id % 10 = 0")
+    found = retrieval.retrieve_approximate(queries, index, 5)
+    exact = retrieval.retrieve_top_k(queries.withColumn("own", F.col("review_id")), pool.withColumn("own", F.col("review_id")), 5, exclude="own")
+    told = lsh.recall(found, exact).first()
+    assert told.exact == 750 and told.recall >= 0.9
+    # What is found has its true distance; cutting buckets into blocks changes nothing.
+    true = {(r.query_id, r.neighbor_id): r.distance for r in exact.collect()}
+    got = {(r.query_id, r.neighbor_id): r.distance for r in found.collect()}
+    assert all(abs(d - true[p]) < 1e-9 for p, d in got.items() if p in true)
+    cut = retrieval.retrieve_approximate(queries, index, 5, block_rows=7).collect()
+    assert {(r.query_id, r.neighbor_id) for r in cut} == set(got)
+    assert retrieval.retrieve_approximate(queries, lsh.fit(pool.filter("false")), 5).count() == 0
+
+
+def test_tfidf_weighs_rare_words_more(spark):
+    pool = spark.createDataFrame([(1, "common word"), (2, "common thing"), (3, "common rare"), (4, None)], "id long, text string")
+    idf = retrieval.fit_idf(pool)
+    assert idf.count() == 5
+    ask = spark.createDataFrame([(1, "common rare"), (2, "unseen"), (3, ""), (4, None), (5, "rare common rare")], "id long, text string")
+    got = {r.id: r.embedding for r in retrieval.embed_tfidf(ask, idf, "id", dim=4096).collect()}
+    assert set(got) == {1, 2, 5} and all(abs(sum(x * x for x in v) - 1) < 1e-9 for v in got.values())
+    weights = sorted(abs(x) for x in got[1] if x)
+    assert len(weights) == 2 and weights[1] / weights[0] > 1.5

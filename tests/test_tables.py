@@ -39,6 +39,33 @@ def test_csv_ingest_end_to_end(spark, tmp_path):
     assert rows["1"].rating == 1 and rows["1"].source == "csv" and set(rows) == {"0", "1"}
 
 
+def test_csv_records_across_splits(spark, tmp_path):
+    import csv
+    import random
+
+    rng = random.Random(4)
+    pieces = ["plain", 'say "hi"', "two\nlines", 'a "b\n""c" d', "comma, here", "", '"', "\n\n", 'x"y']
+    rows = [["".join(rng.choice(pieces) for _ in range(rng.randrange(1, 4))), str(rng.randrange(1, 6)), f"n{i}"] for i in range(400)]
+    folder = tmp_path / "many"
+    folder.mkdir()
+    for part in range(2):
+        with open(folder / f"{part}.csv", "w", newline="", encoding="utf-8") as f:
+            writer = csv.writer(f, lineterminator="\r\n" if part else "\n")
+            writer.writerow(["Review Text", "Stars", "note"])
+            writer.writerows(rows[part * 200 : part * 200 + 200])
+            # A quote inside a bare field opens nothing.
+            f.write('5" wide,3,bare\n')
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")
+    try:
+        lines = spark.read.text(str(folder))
+        assert lines.rdd.getNumPartitions() > 4
+        got = readers.read_mapped_csv(spark, str(folder), {"text": "Review Text", "rating": "Stars"}, "a", "A")
+        found = sorted((r.text or "", r.rating, r.note) for r in got.collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert found == sorted([(t, int(s), n) for t, s, n in rows] + [('5" wide', 3, "bare")] * 2)
+
+
 def test_insert_skips_rows_without_required_values(spark, tmp_path):
     rows = [("a", "A", "1", "t", "t", "csv", 0), ("a", None, "2", "t", "t", "csv", 1), ("a", "A", "1", "later", "t", "csv", 2)]
     batch = spark.createDataFrame(rows, "app_id string, app_name string, review_id string, text string, cleaned_text string, source string, n int")
