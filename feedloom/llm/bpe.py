@@ -21,7 +21,6 @@ import json
 import re
 from heapq import heapify, heappop, heappush
 from itertools import chain
-from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -35,12 +34,12 @@ from pyspark.sql import types as T
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 WINDOW = 1 << 16
 # Marks that are a pre-token of their own behind a word; entries of each half of a worker's memo.
-_MARKS, MEMO = ".,;:!?", 250_000
+_MARKS, MEMO = ".,;:!?", 120_000
 # Pieces up to so many bytes are merged side by side; bits of a rank table, and the factor of its hash.
 SHORT = 64
 _TABLE_BITS, _ODD = 20, 0x9E3779B97F4A7C15
 # Characters of texts whose new words are merged side by side.
-AHEAD = 1 << 20
+AHEAD = 1 << 19
 # Rows that a task encodes before it hands them on.
 ROWS_AT_ONCE = 128
 
@@ -185,13 +184,8 @@ class Vocabulary:
         return [t for t in ids if t >= 0]
 
 
-class Piece(NamedTuple):
-    """Tokens in a row: how many, their ids as decimals joined by commas, their bytes, and the ids themselves."""
-
-    n: int
-    decimals: str
-    data: bytes
-    ids: list[int]
+# Tokens in a row: their ids as decimals joined by commas, their bytes, and the ids; an encoder may leave out the first or last.
+Piece = tuple[str, bytes, list[int]]
 
 
 class _Memo(dict):
@@ -219,14 +213,14 @@ class _Memo(dict):
 
 
 def _pair(a: Piece, b: Piece) -> Piece:
-    return Piece(a[0] + b[0], f"{a[1]},{b[1]}", a[2] + b[2], a[3] + b[3])
+    return f"{a[0]},{b[0]}" if a[0] else "", a[1] + b[1], a[2] + b[2]
 
 
 def _joined(parts: list[Piece]) -> Piece:
     if len(parts) == 2:
         return _pair(*parts)
-    counts, decimals, data, ids = zip(*parts, strict=True)
-    return Piece(sum(counts), ",".join(decimals), b"".join(data), list(chain(*ids)))
+    decimals, data, ids = zip(*parts, strict=True)
+    return ",".join(decimals) if decimals[0] else "", b"".join(data), list(chain(*ids))
 
 
 class Transducer:
@@ -260,9 +254,10 @@ class Transducer:
 class Encoder:
     """Streams one text at a time, a window of characters in hand."""
 
-    def __init__(self, vocabulary: Vocabulary, window: int = WINDOW):
+    def __init__(self, vocabulary: Vocabulary, window: int = WINDOW, decimals: bool = True, ids: bool = True):
         self.v = vocabulary
         self.window = window
+        self.decimals, self.ids = decimals, ids
         # Stretches from a blank to the next, which are one pre-token or a few; and the pre-tokens of unusual ones.
         self.chunks, self.parts = _Memo(MEMO), _Memo(MEMO // 4)
         self.marks = {m: self.piece(vocabulary.merge(m.encode())) for m in _MARKS}
@@ -273,7 +268,9 @@ class Encoder:
         self.special = regex.compile("|".join(map(regex.escape, longest_first)) or r"(?!)").finditer
 
     def piece(self, ids: list[int]) -> Piece:
-        return Piece(len(ids), ",".join([self.v.decimal[i] for i in ids]), b"".join([self.v.bytes_of[i] for i in ids]), ids)
+        v = self.v
+        decimals = ",".join([v.decimal[i] for i in ids]) if self.decimals else ""
+        return decimals, b"".join([v.bytes_of[i] for i in ids]), ids if self.ids else []
 
     def ahead(self, texts):
         """(text, its stretches between blanks or None), after what is new in some texts at a time has been merged side by side."""
@@ -325,7 +322,7 @@ class Encoder:
 
     def encode(self, text: str, sink) -> None:
         """Call ``sink`` with lists of the ids of ``text``."""
-        self.pieces(text, lambda pieces: sink([i for p in pieces for i in p.ids]))
+        self.pieces(text, lambda pieces: sink([i for p in pieces for i in p[2]]))
 
     def pieces(self, text: str, sink, cut: list[str] | None = None) -> None:
         """Call ``sink`` with lists of the Pieces of ``text``, a list for a window at most.
@@ -417,12 +414,12 @@ class Decoder:
 _LOADED: dict[str, Encoder] = {}
 
 
-def encoder(content: str, window: int = WINDOW) -> Encoder:
+def encoder(content: str, window: int = WINDOW, decimals: bool = True, ids: bool = True) -> Encoder:
     """The encoder of a tokenizer file, kept by a Python worker between batches."""
-    key = f"{hashlib.md5(content.encode()).hexdigest()}:{window}"
+    key = f"{hashlib.md5(content.encode()).hexdigest()}:{window}:{decimals}:{ids}"
     if key not in _LOADED:
         _LOADED.clear()
-        _LOADED[key] = Encoder(Vocabulary(content), window)
+        _LOADED[key] = Encoder(Vocabulary(content), window, decimals, ids)
         # The tables hold no cycles and stay: the collector need not walk them.
         gc.collect()
         gc.freeze()
@@ -436,9 +433,9 @@ def digest(coder: Encoder, text: str, cut: list[str] | None = None) -> tuple[int
     def sink(pieces):
         nonlocal n
         if pieces:
-            decimals = ",".join([p[1] for p in pieces])
+            decimals = ",".join([p[0] for p in pieces])
             ids_sha.update((("," if n else "") + decimals).encode())
-            text_sha.update(decoder.take(b"".join([p[2] for p in pieces])).encode())
+            text_sha.update(decoder.take(b"".join([p[1] for p in pieces])).encode())
             n += decimals.count(",") + 1
 
     coder.pieces(text, sink, cut)
@@ -458,10 +455,10 @@ def encode_column(spark: SparkSession, path: str, text):
 
     @F.pandas_udf("array<int>")
     def encode(texts: pd.Series) -> pd.Series:
-        coder, out = encoder(content.value), []
+        coder, out = encoder(content.value, decimals=False), []
         for text, cut in coder.ahead(text or "" for text in texts):
             ids: list[int] = []
-            coder.pieces(text, lambda pieces: ids.extend(chain.from_iterable(p.ids for p in pieces)), cut)  # noqa: B023
+            coder.pieces(text, lambda pieces: ids.extend(chain.from_iterable(p[2] for p in pieces)), cut)  # noqa: B023
             out.append(ids)
         return pd.Series(out, dtype=object)
 
@@ -474,7 +471,7 @@ def decode_column(spark: SparkSession, path: str, ids):
 
     @F.pandas_udf("string")
     def decode(rows: pd.Series) -> pd.Series:
-        vocabulary, out = encoder(content.value).v, []
+        vocabulary, out = encoder(content.value, decimals=False).v, []
         for row in rows:
             decoder = Decoder(vocabulary)
             out.append(decoder.feed([] if row is None else list(row)) + decoder.finish())
@@ -489,7 +486,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def both_ways(texts: pd.Series) -> pd.DataFrame:
-        coder = encoder(content.value)
+        coder = encoder(content.value, ids=False)
         rows = [digest(coder, text, cut) for text, cut in coder.ahead(text or "" for text in texts)]
         return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
@@ -510,7 +507,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     )
 
     def both_ways(batches):
-        coder = encoder(content.value)
+        coder = encoder(content.value, decimals=False)
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS_AT_ONCE):
                 part = batch.slice(at, ROWS_AT_ONCE)
@@ -521,8 +518,8 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
 
                     def sink(pieces):
                         for p in pieces:
-                            ids.extend(p.ids)  # noqa: B023
-                        sha.update(decoder.take(b"".join([p.data for p in pieces])).encode())  # noqa: B023
+                            ids.extend(p[2])  # noqa: B023
+                        sha.update(decoder.take(b"".join([p[1] for p in pieces])).encode())  # noqa: B023
 
                     coder.pieces(text, sink, cut)
                     sha.update(decoder.finish().encode())
