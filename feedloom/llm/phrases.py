@@ -3,7 +3,7 @@
 Every position of a piece of text starts a suffix of at most LONGEST words. Of the tree of all these suffixes
 only the nodes with ``least`` occurrences matter. The tree is partitioned vertically, as ERA does: the
 suffixes are counted by first word, a prefix with more of them than the budget is lengthened by a word until
-it fits, and prefixes are put together into groups of about one budget. Each group's subtree is built
+it fits, and prefixes are dealt to groups of about one budget. Each group's subtree is built
 by itself from its sorted suffixes, and the count of a node is the total of the leaves below it.
 
 Before, two passes find what cannot lie on a frequent phrase: words, and pairs of neighbouring words, are
@@ -29,7 +29,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedloom.llm.common import sized
-from feedloom.plans.ordering import grouped_running
 from feedloom.plans.staging import stage
 
 # What separates pieces, what separates their words, the case that is folded, the longest phrase.
@@ -145,10 +144,24 @@ def _pair_rows(words, word_bits: int, pair_bits: int):
     return rows
 
 
+def _folded(window: list[np.ndarray]) -> pa.RecordBatch:
+    """(w1 to w5, n): the distinct rows of a window matrix, given by column, and how often each occurs."""
+    order = np.lexsort(window[::-1])
+    window = [w[order] for w in window]
+    new = np.ones(len(order), bool)
+    if len(order):
+        new[1:] = reduce(np.logical_or, [w[1:] != w[:-1] for w in window])
+    first = np.flatnonzero(new)
+    n = np.diff(np.append(first, len(order)))
+    columns = [*(pa.array(w[first].view("int64")) for w in window), pa.array(n.astype("int64"))]
+    return pa.RecordBatch.from_arrays(columns, [*_WORDS, "n"])
+
+
 def _leaf_rows(words, pairs, word_bits: int, pair_bits: int):
-    """(w1 to w5, n): suffixes of at least two words, cut where they cannot be frequent, equal ones folded."""
+    """(w1 to w5, n): suffixes of at least two words, cut where they cannot be frequent, equal ones of some stretches folded."""
 
     def rows(batches):
+        held, size = [], 0
         for ids, starts, _ in _stretches(batches):
             ids = np.append(_frequent(ids, words.value, word_bits), np.zeros(LONGEST, "uint64"))
             on = (ids[:-1] != 0) & (ids[1:] != 0)
@@ -158,15 +171,13 @@ def _leaf_rows(words, pairs, word_bits: int, pair_bits: int):
             for k in range(1, LONGEST):
                 open_ = open_ & on[at + k - 1]
                 window.append(np.where(open_, ids[at + k], np.uint64(0)))
-            order = np.lexsort(window[::-1])
-            window = [w[order] for w in window]
-            new = np.ones(len(at), bool)
-            if len(at):
-                new[1:] = reduce(np.logical_or, [w[1:] != w[:-1] for w in window])
-            first = np.flatnonzero(new)
-            n = np.diff(np.append(first, len(at)))
-            columns = [*(pa.array(w[first].view("int64")) for w in window), pa.array(n.astype("int64"))]
-            yield pa.RecordBatch.from_arrays(columns, [*_WORDS, "n"])
+            held.append(window)
+            size += len(at)
+            if size >= _STRETCH:
+                yield _folded([np.concatenate(c) for c in zip(*held, strict=True)])
+                held, size = [], 0
+        if held:
+            yield _folded([np.concatenate(c) for c in zip(*held, strict=True)])
 
     return rows
 
@@ -182,28 +193,22 @@ def _bitmap(buckets: DataFrame, bits: int):
 
 
 def _grouped(leaves: DataFrame, budget: int) -> DataFrame:
-    """The leaves with ``group`` and ``plen``: prefixes of at most ``budget`` suffixes, put together to about a budget."""
-    placed = leaves.withColumn("plen", F.lit(None).cast("int"))
-    closed = []
-    for k in range(1, LONGEST + 1):
+    """The leaves with ``group`` and ``plen``: prefixes of at most ``budget`` suffixes, dealt to groups of about a budget."""
+    placed, total = leaves.withColumn("plen", F.lit(None).cast("int")), leaves.count()
+    for k in range(1, LONGEST):
         key = _WORDS[:k]
-        counts = stage(placed.filter("plen is null").groupBy(key).agg(F.count(F.lit(1)).alias("rows")), "phrase-prefixes")
-        fits = F.lit(True) if k == LONGEST else F.col("rows") <= budget
-        padded = [*key, *[F.lit(0).cast("long").alias(w) for w in _WORDS[k:]]]
-        closed.append(counts.filter(fits).select(F.lit(k).alias("plen"), *padded, "rows"))
-        # Fewer prefixes than the leaves hold budgets.
-        over = sized(counts.filter(~fits).select(*key, F.lit(True).alias("_over")))
-        placed = placed.join(over, key, "left")
-        placed = placed.withColumn("plen", F.when(F.col("plen").isNull() & F.col("_over").isNull(), k).otherwise(F.col("plen"))).drop("_over")
-        if k == LONGEST or not counts.filter(~fits).limit(1).count():
+        # Longer prefixes of those that are too large; fewer of these than the leaves hold budgets.
+        counts = placed.filter("plen is null").groupBy(key).agg(F.count(F.lit(1)).alias("rows"))
+        over = stage(counts.filter(F.col("rows") > budget).select(*key, F.lit(True).alias("_over")), "phrase-prefixes")
+        placed = placed.join(sized(over), key, "left")
+        fits = F.when(F.col("plen").isNull() & F.col("_over").isNull(), k).otherwise(F.col("plen"))
+        placed = placed.withColumn("plen", fits).drop("_over")
+        if not over.limit(1).count():
             break
-    prefixes = reduce(DataFrame.union, closed).withColumn("all", F.lit(0))
-    packed = grouped_running(prefixes, ["all"], [F.col(w) for w in [*_WORDS, "plen"]], sums={"upto": F.col("rows")})
-    groups = stage(packed.select("plen", *[F.col(w).alias(f"p{w}") for w in _WORDS], F.expr(f"(upto - rows) div {budget}").alias("group")), "phrase-groups")
-    same = placed["plen"] == groups["plen"]
-    for k, w in enumerate(_WORDS, 1):
-        same = same & (F.when(placed["plen"] >= k, placed[w]).otherwise(0) == groups[f"p{w}"])
-    return placed.join(sized(groups), same).select("group", placed["plen"], *_WORDS, "n")
+    placed = placed.withColumn("plen", F.coalesce("plen", F.lit(LONGEST)))
+    prefix = [F.when(F.col("plen") >= k, F.col(w)).otherwise(0) for k, w in enumerate(_WORDS, 1)]
+    groups = max(1, 2 * total // budget)
+    return placed.select(F.pmod(F.xxhash64("plen", *prefix), F.lit(groups)).alias("group"), "plen", *_WORDS, "n")
 
 
 def _subtrees(least: int):
