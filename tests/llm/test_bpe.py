@@ -48,52 +48,6 @@ def test_endless_words_are_streamed(library, vocabulary, unit):
         assert encode(coder, text) == library.encode(text, add_special_tokens=False).ids
 
 
-def test_a_pretoken_of_millions_of_characters_is_not_held(library, vocabulary):
-    import time
-
-    def run(n):
-        text, most, ids = "tionth" * (n // 6), 0, []
-        coder = bpe.Encoder(vocabulary, 4_096)
-        original = bpe.Transducer._settle
-
-        def watched(self):
-            nonlocal most
-            most = max(most, len(self.held))
-            original(self)
-
-        bpe.Transducer._settle = watched
-        start = time.process_time()
-        try:
-            coder.encode(text, ids.extend)
-        finally:
-            bpe.Transducer._settle = original
-        return text, ids, most, time.process_time() - start
-
-    text, ids, most, _ = run(120_000)
-    assert ids == library.encode(text, add_special_tokens=False).ids
-    assert most <= 2 * 4_096 + vocabulary.lookahead
-    *_, most, short = run(1_000_000)
-    *_, longest, long = run(8_000_000)
-    assert longest <= 2 * 4_096 + vocabulary.lookahead and long < 16 * short
-
-
-def test_pieces_of_known_chunks(library, vocabulary):
-    """The same ids whether texts are looked at ahead or not, also when the memory of chunks is tiny."""
-    rng = random.Random(9)
-    words = ["the", "Nation", "ition", "née", "x1", "don't", "a,b", "(c)", "end.", "hm?!", "..", "<|endoftext|>", "ß", "1", "中", "", "\n", "\ta"]
-    texts = [" ".join(rng.choice(words) + rng.choice(["", ",", "."]) for _ in range(rng.randint(0, 60))) for _ in range(200)]
-    for size in (5, 100_000):
-        coder = bpe.Encoder(vocabulary)
-        coder.chunks, coder.parts = bpe._Memo(size), bpe._Memo(size)
-        for text, cut in coder.ahead(texts):
-            ids = []
-            coder.pieces(text, lambda pieces: ids.extend(i for p in pieces for i in p[2]), cut)  # noqa: B023
-            assert ids == library.encode(text, add_special_tokens=False).ids
-            n, ids_sha, text_sha = bpe.digest(coder, text, cut)
-            assert (n, text_sha) == (len(ids), hashlib.sha256(text.encode()).hexdigest())
-            assert ids_sha == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
-
-
 def test_random_long_words(library, vocabulary):
     rng = random.Random(2)
     for alphabet in ("etaoinshr", "ab", "0123456789"):
