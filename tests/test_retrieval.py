@@ -28,6 +28,18 @@ def test_neighbour_join_is_exact(spark, block_rows, copies):
     assert list(zip(got.qid, got.pid)) == want
 
 
+def test_rows_meet_few_blocks_however_small_these_are(spark, monkeypatch):
+    """In many dimensions nearly every cell is visited, so many small cells would move the square of the pool."""
+    x, df = vectors(spark, 400, 16, 6)
+    routed, route = [], knn._route
+    monkeypatch.setattr(knn, "_route", lambda *args: routed.append(route(*args)) or routed[-1])
+    got = knn_join(df, df, 3, exclude="id", block_rows=5).toPandas().sort_values(["qid", "rank"])
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    np.fill_diagonal(d, np.inf)
+    assert list(zip(got.qid, got.pid)) == [(i, j) for i in range(400) for j in np.argsort(d[i], kind="stable")[:3]]
+    assert routed[0].count() <= 2 * 8 * 400
+
+
 def test_groups_never_mix(spark):
     x, df = vectors(spark, 60, 2, 8)
     got = knn_join(df, df, 2, group="fold", exclude="id", block_rows=5).toPandas()
