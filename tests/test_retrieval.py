@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from feedloom.operators import retrieval, sampling
-from feedloom.plans import knn, lsh
+from feedloom.plans import knn, layout, lsh
 from feedloom.plans.knn import knn_join
 
 
@@ -133,3 +133,17 @@ def test_tfidf_weighs_rare_words_more(spark):
     assert set(got) == {1, 2, 5} and all(abs(sum(x * x for x in v) - 1) < 1e-9 for v in got.values())
     weights = sorted(abs(x) for x in got[1] if x)
     assert len(weights) == 2 and weights[1] / weights[0] > 1.5
+
+
+def test_only_rare_words_meet_a_large_idf_table_by_shuffle(spark, monkeypatch):
+    rows = [(i, "common word thing " * 30 + f"rare{i} new{i % 5}") for i in range(40)] + [(40, "unseen1 unseen2"), (40, "rare1"), (None, "rare2")]
+    df = spark.createDataFrame(rows, "id long, text string")
+    idf = retrieval.fit_idf(df.filter("id < 40"))
+    vectors = lambda: {r.id: [round(x, 9) for x in r.embedding] for r in retrieval.embed_tfidf(df, idf, "id", dim=16).collect()}
+    want, staged, stage = vectors(), {}, retrieval.stage
+    monkeypatch.setattr(retrieval, "small_side", lambda idf: None)
+    monkeypatch.setattr(retrieval, "common_part", lambda *args: layout.common_part(*args, rows=10))
+    monkeypatch.setattr(retrieval, "stage", lambda part, name: staged.setdefault(name, stage(part, name)))
+    assert vectors() == want and set(want) == {None, *range(41)}
+    assert 3 <= staged["idf-common"].count() <= 10
+    assert staged["tfidf-places"].filter("left_over is not null").count() <= 2 * 43
