@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from feedloom.functions.text import clean_text, clean_whitespace
 from feedloom.operators import cleaning, language
+from feedloom.plans import layout
 
 
 def one(spark, column, text):
@@ -92,6 +93,22 @@ def test_language_has_no_bound_on_words_or_languages(spark, monkeypatch):
     assert {r.id: r.language for r in language.detect_language(df, profile).collect()} == expected
 
 
+def test_only_rare_features_meet_a_large_profile_by_shuffle(spark, monkeypatch):
+    rows = [(i, "the and was " * 20 + f"rare{i}q", "en") if i % 2 else (i, "der die das and " * 20 + f"selten{i}", "de") for i in range(60)]
+    rows += [(60, "the the unknown9", None), (60, "die", None), (None, "was rare1q", None)]
+    df = spark.createDataFrame(rows, "id int, text string, lang string")
+    profile = language.learn_profile(df)
+    scores = lambda: {(r.id, r.lang): (round(r.score, 6), r.known) for r in language.language_scores(df, profile, ["id"], "text").collect()}
+    want, staged, stage = scores(), {}, language.stage
+    monkeypatch.setattr(language, "small_side", lambda profile: None)
+    monkeypatch.setattr(language, "common_part", lambda *args: layout.common_part(*args, rows=40))
+    monkeypatch.setattr(language, "stage", lambda part, name: staged.setdefault(name, stage(part, name)))
+    assert scores() == want and len(want) > 100
+    # Of each text the rare word and at most its two edges, not its 180 to 240 other features.
+    assert staged["language-common"].count() <= 40
+    assert staged["language-scores"].filter("left_over is not null").count() <= 3 * 63
+
+
 def test_positional_ids_follow_input_order(spark):
     df = spark.createDataFrame([(n,) for n in (30, 10, 20)], "n int")
     got = {r.n: r.review_id for r in cleaning.positional_id(df, ["n"]).collect()}
