@@ -131,6 +131,54 @@ def test_lexicon_scorer(spark):
     assert got == {1: ("Performance & Crashes", "negative", 5), 2: ("Other", "positive", 1), 3: ("Other", "neutral", 1)}
 
 
+def test_texts_are_scored_once_for_all_outputs(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def theme(text):
+        calls.add(1)
+        return "Other"
+
+    def scorer(misses):
+        return misses.select("cache_key", theme("text").alias("theme"), F.lit("neutral").alias("sentiment"), F.lit(1).alias("severity"), F.lit("r").alias("reasoning"))
+
+    out = classify.classify_reviews(reviews(spark, ["a", "b", "a"]), empty_cache(spark), "v1", scorer)
+    assert (out["results"].count(), out["rejected"].count(), out["new_cache"].count()) == (3, 0, 2)
+    out["results"].collect(), out["new_cache"].collect()
+    assert calls.value == 2
+
+
+@pytest.mark.parametrize("sent_out", [True, False])
+def test_cached_answers_with_repeated_and_null_texts(spark, monkeypatch, sent_out):
+    if not sent_out:
+        monkeypatch.setattr(classify, "small_side", lambda df: None)
+    df = reviews(spark, ["a", "b", "a", None, "c"])
+    key = lambda t: hashlib.sha256(f"v1:{t}".encode()).hexdigest()
+    answer = ("Other", "neutral", 1, "known")
+    answers = "struct<theme:string,sentiment:string,severity:int,reasoning:string>"
+    cache = spark.createDataFrame([(key("a"), answer), (None, answer), (key("z"), answer)], f"cache_key string, response {answers}")
+    counts = {}
+    out = classify.classify_reviews(df, cache, "v1", classify.lexicon_scorer(classify.lexicon_table(spark)), progress=counts.update)
+    assert counts == {"total": 5, "hits": 2, "misses": 3}
+    got = sorted((r.review_id, r.reasoning) for r in out["results"].collect())
+    assert got == [(1, "known"), (2, "0 known terms in the text"), (3, "known"), (5, "0 known terms in the text")]
+
+
+def test_words_of_a_large_lexicon_travel_with_a_short_key(spark, monkeypatch):
+    texts = spark.createDataFrame(
+        [("k1", "The app crashes and freezes"), ("k2", "love it, great"), ("k3", ""), ("k4", None), (None, "slow")], "cache_key string, text string"
+    )
+    lexicon = classify.lexicon_table(spark)
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    small = rows(classify.classify_lexicon(texts, lexicon))
+    monkeypatch.setattr(classify, "MAX_BROADCAST_TERMS", 1)
+    found = classify.classify_lexicon(texts, lexicon)
+    assert rows(found) == small
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    words = next(line for line in plan.split("\n") if "Generate explode" in line)
+    assert "cache_key" not in words.rsplit("[", 1)[0] and "_key_a" in plan
+
+
 def test_raw_response_is_json_of_the_four_fields(spark):
     scored = spark.createDataFrame([(1, "UI/UX", "positive", 1)], "review_id bigint, theme string, sentiment string, severity int")
     raw = json.loads(classify.classification_rows(scored, "v1").first().raw_response)
