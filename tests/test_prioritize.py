@@ -66,3 +66,23 @@ def test_window_edges(spark):
     row = df.agg(*[c.alias(n) for n, c in counts.items()]).first()
     # (Jan 1, Jan 31] and (Dec 2, Jan 1]
     assert (row.last_30_count, row.prev_30_count) == (2, 2)
+
+
+def test_texts_of_clusters_are_made_once(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def clean(text):
+        calls.add(1)
+        return text
+
+    rows = [(i, "app", "v1", "Other", i % 2, f"word{i % 2} text{i}", 1, 3, 1, "2024-01-01") for i in range(6)]
+    labelled = spark.createDataFrame(
+        rows, "review_id bigint, app_id string, prompt_version string, theme string, cluster_label int, raw string, severity int, rating int, thumbs_up int, day string"
+    ).select("*", clean("raw").alias("cleaned_text"), F.col("day").cast("date").alias("review_date"))
+    built = painpoints.assemble(labelled, F.lit("2024-01-31").cast("date"))
+    assert sorted((r.cluster_label, r.review_count, len(r.example_review_ids)) for r in built.collect()) == [(0, 3, 3), (1, 3, 3)]
+    assert calls.value == 6
+    summaries = painpoints.summarize_clusters(labelled)
+    assert sorted(r.summary for r in summaries.collect()) == ["word0 text0", "word1 text1"]
+    assert calls.value == 12
