@@ -109,6 +109,24 @@ def test_only_rare_features_meet_a_large_profile_by_shuffle(spark, monkeypatch):
     assert staged["language-scores"].filter("left_over is not null").count() <= 3 * 63
 
 
+def test_no_text_is_shuffled_to_meet_its_language(spark, monkeypatch):
+    rows = [(1, "a", "the map is the best of all", "2025-01-01"), (2, "a", "die Karte ist nicht gut", "2025-01-01"), (3, "a", "the end", "soon"),
+            (4, "b", "the map is the best of all", "2025-01-03"), (5, "a", "the map  is the best of all", "2025-01-04"), (6, None, "it was the end", "2025-01-05")]
+    raw = spark.createDataFrame(rows, "n int, app_id string, text string, review_date string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = cleaning.clean_and_filter(raw, ["n"])
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        got = sorted(r.n for r in kept.collect())
+        # The same rows beyond what is sent out.
+        monkeypatch.setattr(language, "FOUND_ROWS", 0)
+        far = sorted(r.n for r in cleaning.clean_and_filter(raw, ["n"]).collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" not in plan
+    assert got == far == [1, 4, 6]
+
+
 def test_positional_ids_follow_input_order(spark):
     df = spark.createDataFrame([(n,) for n in (30, 10, 20)], "n int")
     got = {r.n: r.review_id for r in cleaning.positional_id(df, ["n"]).collect()}

@@ -5,6 +5,7 @@ from feedloom.operators.cleaning import clean_and_filter
 from feedloom.plans.staging import stage
 from feedloom.schemas import CLASSIFICATIONS, MODEL_CACHE, PAIN_POINT_MEMBERS, PAIN_POINTS, REVIEWS
 from feedloom.sources import flows
+from feedloom.sources import store as store_module
 from feedloom.sources.store import Store
 from feedloom.streaming.ingest import ingest_stream, store_batch
 from pyspark.sql import functions as F
@@ -162,3 +163,21 @@ def test_slices_are_replaced_and_cleared_with_their_members(spark, tmp_path):
     assert sorted(r.review_id for r in store.read("pain_point_members", PAIN_POINT_MEMBERS).collect()) == [2, 3]
     flows.store_pain_points(store, frame.filter("false"), members.filter("false"), frame.select("app_id", "prompt_version"))
     assert flows.load_pain_points(Store(spark, str(tmp_path)), "b", "v1").count() == 0
+
+
+def test_an_insert_writes_the_payload_once_and_numbers_only_keys(spark, tmp_path, monkeypatch):
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in ("k", "v")] + [T.StructField("id", T.LongType())])
+    staged, counting, position = [], store_module.stage_counting, store_module.grouped_position
+    monkeypatch.setattr(store_module, "stage_counting", lambda df, name: staged.append(df.columns) or counting(df, name))
+    monkeypatch.setattr(store_module, "grouped_position", lambda df, *a, **o: staged.append(df.columns) or position(df, *a, **o))
+    rows = spark.createDataFrame([(None if i == 5 else f"{i:02d}", f"v{i}", i) for i in range(20)] * 2, "k string, v string, n int")
+    # Also with more rows than are sent out.
+    for root, most in ((tmp_path / "a", 1_000_000), (tmp_path / "b", 0)):
+        monkeypatch.setattr(store_module, "BROADCAST_ROWS", most)
+        store = Store(spark, str(root))
+        assert store.insert("notes", rows.filter("n < 10"), schema, ["k"], ["n"]) == 10
+        assert store.insert("notes", rows.filter("n > 5"), schema, ["k"], ["n"]) == 10
+        found = store.read("notes", schema).orderBy("id").collect()
+        assert [r.id for r in found] == list(range(1, 21)) and {r.v for r in found} == {f"v{i}" for i in range(20)}
+        assert [r.k for r in found if r.k] == [f"{i:02d}" for i in range(20) if i != 5]
+    assert staged and not any("v" in columns for columns in staged)
