@@ -83,3 +83,20 @@ def test_stretches_cut_no_suffix():
         assert all(int(i) in names for i in ids if i)
     cut = lambda c: Counter({k: v for k, v in c.items() if 0 not in k})
     assert cut(parts) == cut(expected) and sum(parts.values()) == np.count_nonzero(whole[:n])
+
+
+@pytest.mark.parametrize("bits", [3, 6, 12, 17])
+def test_a_bitmap_reaches_the_driver_in_few_rows(spark, monkeypatch, bits):
+    taken, frame = [], type(spark.range(0))
+    for name in ("collect", "toPandas"):
+        def counting(self, f=getattr(frame, name)):
+            taken.append(len(out := f(self)))
+            return out
+        monkeypatch.setattr(frame, name, counting)
+    buckets = sorted({*random.Random(bits).choices(range(1 << bits), k=5_000), 0, (1 << bits) - 1})
+    table = spark.createDataFrame([(b,) for b in buckets * 2], "bucket long")
+    bitmap = phrases._bitmap(table, bits).value
+    assert bitmap.dtype == "uint64" and len(bitmap) == max(1, 1 << bits >> 6)
+    assert np.flatnonzero(np.unpackbits(bitmap.view("uint8"), bitorder="little")).tolist() == buckets
+    assert sum(taken) <= phrases.BITMAP_PARTS
+    assert not phrases._bitmap(table.filter("false"), bits).value.any()
