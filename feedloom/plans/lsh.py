@@ -3,7 +3,8 @@
 The index is a table to be stored with the pool: a row per vector and hash table with its code. A query looks under its
 own code and under those that differ in the bits it is least sure of. How many bits a code has follows the
 number of rows, so a bucket holds about ``bucket_rows``; fuller ones are cut into blocks, each searched by itself.
-What is found are true distances; what may be missing is said by ``recall`` against the exact search.
+So are the queries that look under one code. What is found are true distances; what may be missing is said by ``recall``
+against the exact search.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from feedloom.plans.staging import stage
 
 # Hash tables, rows of a bucket aimed at, rows of a block, and codes a query looks under in each table.
 TABLES, BUCKET_ROWS, BLOCK_ROWS, PROBES = 12, 400, 20_000, 6
+# Rows that coding brings forth at once: each holds a vector.
+_CODED_AT_ONCE = 20_000
 
 
 class Index(NamedTuple):
@@ -45,45 +48,87 @@ def fit(pool: DataFrame, key: str = "review_id", vector: str = "embedding", excl
     return Index(stage(_coded(p, index, 1), "index"), index.mean, planes)
 
 
-def _coded(df: DataFrame, index: Index, probes: int) -> DataFrame:
-    """A row per table and code looked under: the row's own, and those with its least sure bits turned."""
-    mean, planes = index.mean, index.planes
-    tables, bits, _ = planes.shape
+def _codes(vectors: np.ndarray, index: Index, probes: int) -> np.ndarray:
+    """(vectors, tables, probes): a row's own code in every table, then those with its least sure bits turned."""
+    planes = index.planes
+    side = np.einsum("nd,tbd->ntb", vectors - index.mean, planes)
+    own = ((side > 0) << np.arange(planes.shape[1])).sum(axis=2)
+    turned = np.argsort(np.abs(side), axis=2)[:, :, : probes - 1]
+    return np.concatenate([own[:, :, None], own[:, :, None] ^ (1 << turned)], axis=2)
+
+
+def _coded(df: DataFrame, index: Index, probes: int, packed: bool = False) -> DataFrame:
+    """A row per table and code looked under: the row's own, and those with its least sure bits turned.
+
+    ``packed`` vectors are bytes, of single precision where that holds them exactly.
+    """
+    index, tables = Index(None, index.mean, index.planes), len(index.planes)
+    step = max(1, _CODED_AT_ONCE // (tables * probes))
 
     def code(frames):
         for frame in frames:
-            if frame.empty:
+            for start in range(0, len(frame), step):
+                part = frame.iloc[start : start + step]
+                codes = _codes(np.stack(part["v"].to_numpy()), index, probes)
+                if packed:
+                    part = part.assign(v=part["v"].map(_pack))
+                out = part.loc[part.index.repeat(tables * codes.shape[2])].reset_index(drop=True)
+                out["t"] = np.tile(np.repeat(np.arange(tables), codes.shape[2]), len(part)).astype("int32")
+                out["code"] = codes.reshape(-1).astype("int64")
+                yield out
+
+    return df.mapInPandas(code, f"g string, id bigint, v {'binary' if packed else 'array<double>'}, x bigint, f double, t int, code bigint")
+
+
+def _pack(vector: np.ndarray) -> bytes:
+    single = vector.astype("float32")
+    return (single if (single == vector).all() else vector).tobytes()
+
+
+def _unpack(packed: bytes, dim: int) -> np.ndarray:
+    return np.frombuffer(packed, "float32" if len(packed) == 4 * dim else "float64").astype("float64")
+
+
+def _asked_codes(df: DataFrame, index: Index, probes: int) -> DataFrame:
+    """(t, code, asked): how many rows look under a code."""
+    index, (tables, _, dim) = Index(None, index.mean, index.planes), index.planes.shape
+
+    def count(frames):
+        for frame in frames:
+            # An index without rows has no planes.
+            if frame.empty or not dim:
                 continue
-            side = np.einsum("nd,tbd->ntb", np.stack(frame["v"].to_numpy()) - mean, planes)
-            own = ((side > 0) << np.arange(bits)).sum(axis=2)
-            turned = np.argsort(np.abs(side), axis=2)[:, :, : probes - 1]
-            codes = np.concatenate([own[:, :, None], own[:, :, None] ^ (1 << turned)], axis=2)
-            out = frame.loc[frame.index.repeat(tables * codes.shape[2])].reset_index(drop=True)
-            out["t"] = np.tile(np.repeat(np.arange(tables), codes.shape[2]), len(frame)).astype("int32")
-            out["code"] = codes.reshape(-1).astype("int64")
-            yield out
+            codes = _codes(np.stack(frame["v"].to_numpy()), index, probes)
+            for t in range(tables):
+                code, asked = np.unique(codes[:, t], return_counts=True)
+                yield pd.DataFrame({"t": np.full(len(code), t, "int32"), "code": code, "asked": asked})
 
-    return df.mapInPandas(code, "g string, id bigint, v array<double>, x bigint, f double, t int, code bigint")
+    return df.mapInPandas(count, "t int, code bigint, asked bigint").groupBy("t", "code").agg(F.sum("asked").alias("asked"))
 
 
 def search(queries: DataFrame, index: Index, k: int, key: str = "review_id", vector: str = "embedding", exclude: str | None = None, probes: int = PROBES, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Up to k near rows of the index per query, by true Euclidean distance: query_id, neighbor_id, distance (squared), rank."""
-    q = _coded(slim(queries, key, vector, None, exclude, None), index, probes)
+    # Written once: vectors may come from a Python embedder, and they are coded twice.
+    slim_queries = stage(slim(queries, key, vector, None, exclude, None), "index-queries")
     sizes = index.rows.groupBy("t", "code").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("nb"))
-    sizes = stage(sizes, "index-buckets")
+    blocks = F.ceil(F.col("asked") / block_rows).cast("int").alias("nq")
+    sizes = stage(sizes.join(_asked_codes(slim_queries, index, probes), ["t", "code"]).select("t", "code", "nb", blocks), "index-buckets")
     side = small_side(sizes)
     sizes = sizes if side is None else side
+    # A task holds a block of a bucket's rows and a block of the queries that look there.
     pool = index.rows.join(sizes, ["t", "code"]).withColumn("pb", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
-    asked = q.join(sizes, ["t", "code"]).withColumn("pb", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    pool = pool.withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)))
+    asked = _coded(slim_queries, index, probes, packed=True).join(sizes, ["t", "code"])
+    asked = asked.withColumn("qb", F.pmod(F.xxhash64("id"), F.col("nq")).cast("int")).withColumn("pb", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     if not exclude:
         # A row never finds itself.
         pool, asked = pool.withColumn("x", F.col("id")), asked.withColumn("x", F.col("id"))
-    keys = ["t", "code", "pb"]
+    keys = ["t", "code", "pb", "qb"]
     asked = asked.withColumn("bound", F.lit(float("inf"))).select(*keys, "g", "id", "v", "x", "f", "bound")
-    kernel = _search(k, False)
+    kernel, dim = _search(k, False), index.planes.shape[2]
 
     def find(ask: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        return kernel(ask, rows)
+        return kernel(ask.assign(v=[_unpack(v, dim) for v in ask["v"]]), rows)
 
     found = asked.groupBy(*keys).cogroup(_fresh(pool.select(*keys, "g", "id", "v", "x", "f")).groupBy(*keys)).applyInPandas(
         find, "g string, qid bigint, qx bigint, pid bigint, px bigint, distance double"

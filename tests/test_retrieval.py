@@ -147,3 +147,30 @@ def test_only_rare_words_meet_a_large_idf_table_by_shuffle(spark, monkeypatch):
     assert vectors() == want and set(want) == {None, *range(41)}
     assert 3 <= staged["idf-common"].count() <= 10
     assert staged["tfidf-places"].filter("left_over is not null").count() <= 2 * 43
+
+
+def test_queries_under_one_code_are_cut_into_blocks(spark, monkeypatch):
+    rng, kernel, block = np.random.default_rng(4), lsh._search, 60
+    vectors = np.concatenate([np.zeros((300, 8)), rng.normal(size=(60, 8)).astype("float32"), rng.normal(size=(60, 8))])
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(vectors)]
+    pool = spark.createDataFrame(rows, "review_id long, embedding array<double>").repartition(3)
+    index = lsh.fit(pool, tables=3, bucket_rows=40)
+    want = {tuple(r) for r in retrieval.retrieve_approximate(pool, index).collect()}
+
+    def narrow(k, by_edge):
+        search = kernel(k, by_edge)
+
+        def checked(queries, rows):
+            assert max(len(queries), len(rows)) <= 3 * block
+            return search(queries, rows)
+
+        return checked
+
+    monkeypatch.setattr(lsh, "_search", narrow)
+    got = {tuple(r) for r in retrieval.retrieve_approximate(pool, index, block_rows=block).collect()}
+    assert got == want and len({q for q, *_ in got}) > 300
+    monkeypatch.setattr(lsh, "_CODED_AT_ONCE", 50)
+    assert {tuple(r) for r in retrieval.retrieve_approximate(pool, index, block_rows=block).collect()} == want
+    # The pool's vectors come back exactly, in whatever precision they travel.
+    true = {i: v for i, v in enumerate(vectors)}
+    assert all(d == ((true[q] - true[p]) ** 2).sum() or abs(d - ((true[q] - true[p]) ** 2).sum()) < 1e-12 for q, p, d, _ in want)
