@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from feedloom.operators.cleaning import content_id, fill_defaults, positional_id, whole_number
-from feedloom.plans.layout import small_side
-from feedloom.plans.ordering import grouped_running
 from feedloom.plans.staging import stage
 
 # Fields a CSV must map.
@@ -34,13 +34,76 @@ _STAYS = rf'^{_QUOTED}$'
 _CLOSES = rf'^{_QUOTED}"(?!"){_AFTER}(?:,|$)'
 
 
+def _line_states(batches):
+    """The lines of a scan, in its order, with what they are if their split starts outside (0) or inside (1) a quoted field.
+
+    Whether a line starts (_b0, _b1) and ends (_a0, _a1) inside; how many records end (_r0, and what _r1 is more) and how many
+    blank records lie (_k0, _k1 likewise) before it in the split.
+    """
+    split, held = None, None
+    for batch in batches:
+        files, starts = batch.column("_file").dictionary_encode(), batch.column("_start").to_numpy()
+        names, codes = files.dictionary.to_pylist(), files.indices.to_numpy()
+        out, inside = (batch.column(c).to_numpy(zero_copy_only=False).astype("int64") for c in ("_out", "_in"))
+        empty = batch.column("_empty").to_numpy(zero_copy_only=False).astype(bool)
+        fixed, turns = out == inside, np.cumsum(out > inside)
+        made = {c: np.zeros(len(out), "int32") for c in ("_b0", "_b1", "_a0", "_a1", "_r0", "_r1", "_k0", "_k1")}
+        new = np.flatnonzero(np.append(True, (codes[1:] != codes[:-1]) | (starts[1:] != starts[:-1]))[: len(out)])
+        for lo, hi in zip(new.tolist(), [*new[1:].tolist(), len(out)], strict=True):
+            if (here := (names[codes[lo]], int(starts[lo]))) != split:
+                split, held = here, [(0, 0, 0), (1, 0, 0)]
+            # The last line that sets the state whatever it was, and the turns since.
+            last = np.maximum.accumulate(np.where(fixed[lo:hi], np.arange(lo, hi), -1))
+            turned = turns[lo:hi] - np.where(last >= 0, turns[last], turns[lo] - (out[lo] > inside[lo]))
+            for h, (state, ended, blank) in enumerate(held):
+                after = np.where(last >= 0, out[last], state) ^ (turned & 1)
+                before = np.append(state, after[:-1])
+                ends, blanks = 1 - after, (before == 0) & empty[lo:hi]
+                made[f"_b{h}"][lo:hi], made[f"_a{h}"][lo:hi] = before, after
+                made[f"_r{h}"][lo:hi] = ended + np.cumsum(ends) - ends
+                made[f"_k{h}"][lo:hi] = blank + np.cumsum(blanks) - blanks
+                held[h] = int(after[-1]), ended + int(ends.sum()), blank + int(blanks.sum())
+        for c in ("_r", "_k"):
+            made[f"{c}1"] -= made[f"{c}0"]
+        kept = [batch.column(c) for c in ("_file", "_start", "_line", "value")]
+        yield pa.RecordBatch.from_arrays([*kept, *map(pa.array, made.values())], ["_file", "_start", "_line", "value", *made])
+
+
+def _split_starts(lines: DataFrame) -> DataFrame:
+    """A row per split: whether it starts inside a quoted field, records and blank ones of its file before it, and the place of row 0."""
+    empty = F.col("value") == ""
+    ended = [F.max(r + 1 - F.col(f"_a{h}")).alias(f"ended{h}") for h, r in enumerate((F.col("_r0"), F.col("_r0") + F.col("_r1")))]
+    blank = [
+        F.max(k + (empty & (F.col(f"_b{h}") == 0)).cast("int")).alias(f"blank{h}") for h, k in enumerate((F.col("_k0"), F.col("_k0") + F.col("_k1")))
+    ]
+    # The states after the last line, by the largest number.
+    last = F.max(F.shiftleft("_line", 2) + 2 * F.col("_a0") + F.col("_a1")).alias("last")
+    no_header = F.max((empty & (F.col("_r0") == 0) & (F.col("_b0") == 0)).cast("int")).alias("no_header")
+    found = lines.groupBy("_file", "_start").agg(*ended, *blank, last, no_header).collect()
+    rows, place, by_file = [], 0, {}
+    for split in sorted(found, key=lambda s: (s._file, s._start)):
+        by_file.setdefault(split._file, []).append(split)
+    for file, splits in by_file.items():
+        state, records, blanks = 0, 0, 0
+        # Row 0 is the header, which has no place; nor have blank records.
+        first = place - (0 if splits[0].no_header else 1)
+        for s in splits:
+            rows.append((file, s._start, state, records, blanks, first))
+            ended, blank, after = ((s.ended0, s.blank0, s.last >> 1 & 1), (s.ended1, s.blank1, s.last & 1))[state]
+            state, records, blanks = after, records + ended, blanks + blank
+        place = first + records + state - blanks
+    schema = "_file string, _start long, _inside int, _records long, _blanks long, _first long"
+    return F.broadcast(lines.sparkSession.createDataFrame(rows, schema))
+
+
 def csv_records(spark: SparkSession, path: str) -> DataFrame:
-    """(_file, _row, value): the records of CSV files, read in splits; a quoted field may hold line breaks.
+    """(_file, _row, _place, value): the records of CSV files, read in splits; a quoted field may hold line breaks.
 
     Whether a line starts inside a quoted field depends on all lines before it. What a line does to that state is one of
-    four: keep it, turn it, open, close. The state at a line is that of the last line that opens or closes, turned by those since,
-    so running maxima and exclusive ors over range partitions give it to every line, and a running count of the lines that
-    start outside numbers the records. Only records of several lines are put together; the others stay where they are.
+    four: keep it, turn it, open, close. So each split is read once and its lines are written with what they are if the split starts
+    outside, and if inside; the splits' totals, a row each, then tell in order which it is. A line that starts and ends outside is a
+    record; only the lines of the others are moved, to be put together. ``_place`` counts the records of all files that
+    are neither a header nor blank.
     """
     lines = spark.read.option("lineSep", "\n").text(path).select(
         F.col("_metadata.file_path").alias("_file"),
@@ -50,27 +113,19 @@ def csv_records(spark: SparkSession, path: str) -> DataFrame:
     )
     from_out = F.col("value").rlike(_OPENS)
     from_in = F.col("value").rlike(_STAYS) | F.regexp_replace("value", _CLOSES, "").rlike(_OPENS)
-    lines = lines.withColumn("_out", from_out.cast("long")).withColumn("_in", from_in.cast("long"))
-    turns = F.when(F.col("_out") > F.col("_in"), 1).otherwise(0).cast("long")
-    order = [F.col("_start"), F.col("_line")]
-    turned = grouped_running(lines, ["_file"], order, xors={"_turned": turns})
-    # Where a line sets the state whatever it was, what the turns since then are compared with.
-    fixed = F.when(F.col("_out") == F.col("_in"), F.struct("_start", "_line", F.col("_out").bitwiseXOR(F.col("_turned")).alias("s")))
-    at = grouped_running(turned, ["_file"], order, maxima={"_fixed": fixed})
-    ends_in = F.coalesce(F.col("_fixed.s"), F.lit(0)).bitwiseXOR(F.col("_turned"))
-    after = at.select("_file", "_start", "_line", "value", ends_in.alias("_ends_in"))
-    # A line belongs to the record that is open after the line before it; ends are counted up to and without it.
-    numbered = grouped_running(after, ["_file"], order, sums={"_ended": 1 - F.col("_ends_in")})
-    numbered = numbered.withColumn("_row", F.col("_ended") - (1 - F.col("_ends_in")))
-    numbered = stage(numbered.select("_file", "_start", "_line", "_row", "value", "_ends_in"), "csv-lines")
-    # A record of several lines has lines that do not end it.
-    broken = numbered.filter("_ends_in = 1").select("_file", "_row").distinct()
-    side = small_side(broken)
-    broken = broken if side is None else side
-    whole = numbered.join(broken, ["_file", "_row"], "left_anti").select("_file", "_row", "value")
-    parts = numbered.join(broken, ["_file", "_row"], "left_semi").groupBy("_file", "_row")
+    marked = lines.select("*", from_out.alias("_out"), from_in.alias("_in"), (F.col("value") == "").alias("_empty"))
+    states = ", ".join(f"_{c}{h} int" for c in "bark" for h in (0, 1))
+    lines = stage(marked.mapInArrow(_line_states, f"_file string, _start long, _line long, value string, {states}"), "csv-lines", "zstd")
+    lines = lines.join(_split_starts(lines), ["_file", "_start"])
+    inside = F.col("_inside") == 1
+    in_split = lambda c: F.when(inside, F.col(f"{c}0") + F.col(f"{c}1")).otherwise(F.col(f"{c}0"))
+    row, open_ = F.col("_records") + in_split("_r"), F.when(inside, F.col("_b1") + F.col("_a1")).otherwise(F.col("_b0") + F.col("_a0"))
+    place = F.col("_first") + row - F.col("_blanks") - in_split("_k")
+    numbered = lines.select("_file", "_start", "_line", "value", row.alias("_row"), place.alias("_place"), open_.alias("_open"))
+    whole = numbered.filter("_open = 0").select("_file", "_row", "_place", "value")
+    parts = numbered.filter("_open > 0").groupBy("_file", "_row", "_place")
     joined = parts.agg(F.sort_array(F.collect_list(F.struct("_start", "_line", "value"))).alias("_parts"))
-    return whole.unionByName(joined.select("_file", "_row", F.array_join(F.col("_parts.value"), "\n").alias("value")))
+    return whole.unionByName(joined.select("_file", "_row", "_place", F.array_join(F.col("_parts.value"), "\n").alias("value")))
 
 
 def read_mapped_csv(
@@ -98,10 +153,10 @@ def read_mapped_csv(
         # The first record of every file is its header; blank lines are no records.
         rows = csv_records(spark, path).filter("_row > 0 and value <> ''")
         fields = F.from_csv("value", names.toDDL(), {"escape": '"', "multiLine": "true"})
-        raw = rows.select("_file", "_row", fields.alias("_fields")).select(
-            *[F.col("_fields").getField(c).alias(columns.get(c, c)) for c in raw.columns], "_file", F.lit(0).cast("long").alias("_start"), "_row"
+        raw = rows.select("_file", "_row", "_place", fields.alias("_fields")).select(
+            *[F.col("_fields").getField(c).alias(columns.get(c, c)) for c in raw.columns], "_file", F.lit(0).cast("long").alias("_start"), "_row", "_place"
         )
-        return map_rows(raw, app_id, app_name, INPUT_ORDER, id_mode)
+        return map_rows(raw, app_id, app_name, INPUT_ORDER, id_mode, "_place").drop("_place")
     named = raw.select(
         *[F.col(f"`{c}`").alias(columns.get(c, c)) for c in raw.columns],
         F.col("_metadata.file_path").alias("_file"),
@@ -112,14 +167,17 @@ def read_mapped_csv(
 
 
 def map_rows(
-    named: DataFrame, app_id: str, app_name: str, order: tuple[str, ...], id_mode: str = "position"
+    named: DataFrame, app_id: str, app_name: str, order: tuple[str, ...], id_mode: str = "position", place: str | None = None
 ) -> DataFrame:
-    """Constants, ids and defaults for rows that already carry our field names."""
+    """Constants, ids and defaults for rows that already carry our field names; ``place``: the column with the 0-based place, if known."""
     rows = named.withColumn("app_id", F.lit(app_id)).withColumn("app_name", F.lit(app_name))
     had_id = "review_id" in rows.columns
     rows = fill_defaults(rows)
     if not had_id:
-        rows = positional_id(rows, order) if id_mode == "position" else content_id(rows)
+        if id_mode != "position":
+            rows = content_id(rows)
+        else:
+            rows = positional_id(rows, order) if place is None else rows.withColumn("review_id", F.col(place).cast("string"))
     return rows.withColumn("rating", whole_number(F.col("rating"))).withColumn("source", F.lit("csv"))
 
 

@@ -158,3 +158,37 @@ def test_snapshot_subset(spark):
     pp = spark.createDataFrame([("a", 1), ("c", 2)], "app_id string, n int")
     parts = upsert.snapshot_subset(reviews, cls, pp, reviews.filter("id < 3"))
     assert {k: v.count() for k, v in parts.items()} == {"reviews": 2, "classifications": 2, "pain_points": 1}
+
+
+@pytest.mark.parametrize("split", ["40", "900", "1000000"])
+def test_csv_lines_are_written_once_and_numbered_where_they_lie(spark, tmp_path, monkeypatch, split):
+    import random
+
+    from feedloom.plans import ordering
+
+    rng = random.Random(int(split))
+    folder, want = tmp_path / "placed", []
+    folder.mkdir()
+    for part in range(4):
+        records = ["" if rng.random() < 0.2 else f'"{rng.choice(["a", "", "a" + chr(10) * 3 + "b", "c" + chr(34) * 2 + chr(10)])}",{rng.randrange(1, 6)},{part}-{n}' for n in range(60)]
+        # A blank first line, no record but the header, and a field that is never closed.
+        lines = [[""], [], [], []][part] + ["text,rating,note"] + ([] if part == 1 else records) + (['"open', ""] if part == 3 else [])
+        with open(folder / f"{part}.csv", "w", newline="", encoding="utf-8") as f:
+            f.write(("\r\n" if part == 2 else "\n").join(lines) + "\n")
+        want += [r.rsplit(",", 1)[1] for r in (["x,text,note"] if part == 0 else []) + (records if part != 1 else []) if r] + ([None] if part == 3 else [])
+    written, stage = [], readers.stage
+
+    def noting(df, name, codec=None):
+        written.append(df.columns)
+        return stage(df, name, codec)
+
+    monkeypatch.setattr(readers, "stage", noting)
+    monkeypatch.setattr(ordering, "stage", noting)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        got = readers.read_mapped_csv(spark, str(folder), {"text": "text", "rating": "rating"}, "a", "A")
+        found = sorted((int(r.review_id), r.note) for r in got.collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert found == list(enumerate(want))
+    assert sum("value" in c or "text" in c for c in written) == 1 and set(got.columns) >= {"_file", "_start", "_row"} and "_place" not in got.columns
